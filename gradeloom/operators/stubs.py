@@ -1,0 +1,39 @@
+"""Deterministic stand-ins for model clients: no network, results are plain formulas."""
+
+from __future__ import annotations
+
+
+def responder(system_prompt: str, question: str) -> dict:
+    if len(question) % 17 == 0:
+        raise RuntimeError("429 rate limit reached")
+    if len(question) % 13 == 0:
+        raise ValueError("invalid request")
+    return {
+        "response": f"Answer: {question}",
+        "latency_seconds": (len(question) % 40) / 4,
+        "input_tokens": len(system_prompt) + len(question),
+        "output_tokens": len(question),
+        "model_id": "gpt-4o-mini-stub",
+    }
+
+
+def judge(question: str, response: str, criterion: str, prompt: str) -> tuple[float, str]:
+    if len(response) % 19 == 0:
+        raise ValueError("judge gave no answer")
+    return (len(response) + 7 * len(criterion)) % 101 / 100, f"Read {len(response)} characters"
+
+
+def dimension_judge(question: str, response: str, criterion: str, dimension: str) -> float:
+    if dimension == "Accuracy" and len(response) % 11 == 0:
+        raise ValueError("judge gave no answer")
+    return 1.0 if (len(response) + len(dimension)) % 3 else 0.0
+
+
+def safety_judge(metric: str, question: str, response: str) -> tuple[float, str]:
+    if (len(response) + len(metric)) % 23 == 0:
+        raise ValueError("judge gave no answer")
+    return (len(response) * 3 + len(metric)) % 1000 / 1000, ""
+
+
+def improver(prompt: str) -> str:
+    return f"Improved from {len(prompt)} characters"
