@@ -8,6 +8,13 @@ from . import fixed_values as fv
 from .numeric import col
 
 
+WHITESPACE = " \t\n\r\x0b\x0c"  # Spark's trim alone removes spaces only
+
+
+def strip(c: str | Column) -> Column:
+    return F.btrim(col(c), F.lit(WHITESPACE))
+
+
 def blank_to_null(c: str | Column) -> Column:
     return F.nullif(col(c), F.lit(""))
 
@@ -18,7 +25,7 @@ def first_filled(*columns: str | Column) -> Column:
 
 
 def normalize_slug(c: str | Column) -> Column:
-    return F.translate(F.lower(F.trim(col(c))), " -", "__")
+    return F.translate(F.lower(strip(c)), " -", "__")
 
 
 def base_slug(c: str | Column) -> Column:
@@ -31,7 +38,7 @@ def word_count(c: str | Column) -> Column:
 
 def filled_lines(c: str | Column, limit: int | None = None) -> Column:
     """Trimmed non-blank lines of a text box, optionally only the first few."""
-    lines = F.filter(F.transform(F.split(col(c), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(col(c), "\n"), strip), lambda x: x != "")
     return F.slice(lines, 1, limit) if limit else lines
 
 

@@ -32,13 +32,13 @@ def suite_violations(cases: DataFrame, roles: DataFrame | None = None) -> DataFr
         for c, label in [("test_id", "id"), ("question", "question"), ("criteria", "criteria")]
     ]))
     blank = F.filter(
-        F.transform("criteria", lambda x, i: F.when(F.trim(F.coalesce(x, F.lit(""))) == "", i + 1)), lambda x: x.isNotNull()
+        F.transform("criteria", lambda x, i: F.when(text.strip(F.coalesce(x, F.lit(""))) == "", i + 1)), lambda x: x.isNotNull()
     )
     found = _rows(cases, [
         _issue(F.size(missing) > 0, "error", "missing_field",
                F.concat(F.lit("Test case #"), F.col("test_seq").cast("string"), F.lit(": missing required fields: "),
                         F.array_join(missing, ", "))),
-        _issue(F.trim("question") == "", "error", "blank_question",
+        _issue(text.strip("question") == "", "error", "blank_question",
                F.concat(F.lit("Test case '"), name, F.lit("': question must be a non-empty string"))),
         _issue(F.size("criteria") == 0, "error", "empty_criteria",
                F.concat(F.lit("Test case '"), name, F.lit("': criteria must be a non-empty list"))),
@@ -98,7 +98,7 @@ def normalize_generated(cases: DataFrame) -> DataFrame:
 def context_array(raw: str) -> "F.Column":
     """Raw JSON of a context value (a string or an array of strings) as an array."""
     value = F.col(raw)
-    return F.when(F.trim(value).startswith("["), F.from_json(value, "array<string>")).when(
+    return F.when(text.strip(value).startswith("["), F.from_json(value, "array<string>")).when(
         value.isNotNull(), F.array(value)
     )
 

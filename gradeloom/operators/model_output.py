@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.numeric import col
+from ..functions.text import strip
 from .ingest import context_array, normalize_generated
 
 CASE_SCHEMA = "id string, category string, question string, criteria array<string>, weight int, context string"
@@ -17,10 +18,10 @@ GOLD_SCHEMA = (
 
 def without_fence(raw: str | Column) -> Column:
     """Trimmed text, or the inside of its first code fence without a json tag."""
-    trimmed = F.trim(col(raw))
+    trimmed = strip(col(raw))
     inside = F.element_at(F.split(trimmed, "```"), 2)
     untagged = F.when(inside.startswith("json"), F.substr(inside, F.lit(5))).otherwise(inside)
-    return F.trim(F.when(trimmed.startswith("```"), untagged).otherwise(trimmed))
+    return strip(F.when(trimmed.startswith("```"), untagged).otherwise(trimmed))
 
 
 def bracket_slice(raw: str | Column) -> Column:
@@ -38,7 +39,7 @@ def _strict_array(text: Column, item_schema: str) -> Column:
     wrapped = F.concat(F.lit('{"items":'), text, F.lit("}"))
     parsed = F.from_json(wrapped, f"items array<struct<{_as_struct(item_schema)}>>, _broken string",
                          {"columnNameOfCorruptRecord": "_broken"})
-    return F.when(F.trim(text).startswith("[") & parsed["_broken"].isNull(), parsed["items"])
+    return F.when(strip(text).startswith("[") & parsed["_broken"].isNull(), parsed["items"])
 
 
 def _as_struct(schema: str) -> str:

@@ -50,7 +50,7 @@ def resolve_prompt(requests: DataFrame, files: DataFrame) -> DataFrame:
     prompt = (
         F.when(source == "none", F.lit(""))
         .when(source.startswith("custom:"), F.substr(source, F.lit(8)))
-        .when(is_file, F.trim("_content"))
+        .when(is_file, text.strip("_content"))
         .otherwise(F.col("local_prompt"))
     )
     return joined.withColumn("resolved_prompt", prompt).withColumn(

@@ -81,13 +81,14 @@ def carried_forward(versions: DataFrame, column: str) -> DataFrame:
     return versions.drop(column).join(kept, ["role_slug", "id"])
 
 
-def restore_version(versions: DataFrame, chosen: DataFrame, new_id, timestamp) -> DataFrame:
-    """New snapshots that repeat the chosen versions (role_slug, id): texts and hashes are
-    those of the chosen one, with a note. `new_id` and `timestamp` are columns or values."""
-    new_id = new_id if not isinstance(new_id, (int, str)) else F.lit(new_id)
-    return (
+def restore_version(versions: DataFrame, chosen: DataFrame, timestamp=None) -> DataFrame:
+    """A new newest version per role that repeats the chosen one (role_slug, id); one choice
+    per role. Texts and hashes are those of the chosen version."""
+    restored = (
         versions.join(chosen.select("role_slug", "id"), ["role_slug", "id"], "left_semi")
+        .join(latest_version(versions).select("role_slug", "latest_id"), "role_slug")
         .withColumn("change_note", F.concat(F.lit("Restored version "), F.col("id").cast("string")))
-        .withColumn("id", new_id)
-        .withColumn("timestamp", F.lit(timestamp) if isinstance(timestamp, str) else timestamp)
+        .withColumn("id", F.col("latest_id") + 1)
+        .drop("latest_id")
     )
+    return restored if timestamp is None else restored.withColumn("timestamp", timestamp)
