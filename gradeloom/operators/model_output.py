@@ -33,13 +33,16 @@ def bracket_slice(raw: str | Column) -> Column:
     return F.when((start > 0) & (tail > 0) & (end >= start), F.substr(raw, start, end - start + 1))
 
 
-def _strict_array(text: Column, item_schema: str) -> Column:
-    """Parsed array, NULL unless the text is exactly one JSON array. Wrapping the text makes
-    anything after the array a syntax error."""
+def _parse(text: Column, item_schema: str) -> Column:
+    """Struct(items, _broken) of a text taken as one JSON array. The text is wrapped in an
+    object, which makes anything after the array a syntax error."""
     wrapped = F.concat(F.lit('{"items":'), text, F.lit("}"))
-    parsed = F.from_json(wrapped, f"items array<struct<{_as_struct(item_schema)}>>, _broken string",
-                         {"columnNameOfCorruptRecord": "_broken"})
-    return F.when(strip(text).startswith("[") & parsed["_broken"].isNull(), parsed["items"])
+    return F.from_json(wrapped, f"items array<struct<{_as_struct(item_schema)}>>, _broken string",
+                       {"columnNameOfCorruptRecord": "_broken"})
+
+
+def _array_of(parsed: str) -> Column:
+    return F.when(F.col(f"{parsed}._broken").isNull(), F.col(f"{parsed}.items"))
 
 
 def _as_struct(schema: str) -> str:
@@ -49,17 +52,20 @@ def _as_struct(schema: str) -> str:
 def parse_json_array(df: DataFrame, raw: str, item_schema: str = CASE_SCHEMA) -> DataFrame:
     """Adds `items` and `parsed_by`: fence (text as such or inside a fence), slice (from the
     first to the last bracket) or rejected (items NULL)."""
-    plain = _strict_array(without_fence(raw), item_schema)
-    salvaged = _strict_array(bracket_slice(raw), item_schema)
+    plain, sliced = without_fence(raw), bracket_slice(raw)
+    # One column per step, so that each text is parsed once however often the result is used.
     return (
-        df.withColumn("_plain", plain)
-        .withColumn("_salvaged", F.when(F.col("_plain").isNull(), salvaged))
+        df.withColumn("_text", plain)
+        .withColumn("_p", F.when(F.col("_text").startswith("["), _parse(F.col("_text"), item_schema)))
+        .withColumn("_plain", _array_of("_p"))
+        .withColumn("_s", F.when(F.col("_plain").isNull(), _parse(sliced, item_schema)))
+        .withColumn("_salvaged", _array_of("_s"))
         .withColumn("items", F.coalesce("_plain", "_salvaged"))
         .withColumn(
             "parsed_by",
             F.when(F.col("_plain").isNotNull(), "fence").when(F.col("_salvaged").isNotNull(), "slice").otherwise("rejected"),
         )
-        .drop("_plain", "_salvaged")
+        .drop("_text", "_p", "_plain", "_s", "_salvaged")
     )
 
 

@@ -41,11 +41,14 @@ def resolve_prompt(requests: DataFrame, files: DataFrame) -> DataFrame:
     """The system prompt of each request.
 
     `requests` has prompt_source and local_prompt, `files` has file_path and content. A file
-    that does not exist leaves the prompt NULL and sets `missing_file`.
+    that does not exist leaves the prompt NULL and sets `missing_file`. Requests without a
+    file get scattered join keys that no path equals: as NULL keys they would all meet in
+    one task.
     """
     source = F.col("prompt_source")
     is_file = source.startswith("file:")
-    wanted = requests.withColumn("_path", F.when(is_file, F.substr(source, F.lit(6))))
+    scattered = F.concat(F.lit("none:"), F.xxhash64(*requests.columns).cast("string"))
+    wanted = requests.withColumn("_path", F.when(is_file, F.substr(source, F.lit(6))).otherwise(scattered))
     joined = wanted.join(files.select(F.col("file_path").alias("_path"), F.col("content").alias("_content")), "_path", "left")
     prompt = (
         F.when(source == "none", F.lit(""))

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Do not record the Python line of every column expression: it costs driver time only.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Tasks that call a model must not be run twice on purpose.
     "spark.speculation": "false",
 }
