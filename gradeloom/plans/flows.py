@@ -48,11 +48,10 @@ def judge(store: Store, work: DataFrame, calls: DataFrame, docs: DataFrame, mode
     answered = work.join(calls.select(*CALL, "response"), list(CALL))
     criteria = ingest.explode_criteria(answered.select(*CALL, "role_slug", "domain", "question", "response", "criteria"))
     prompted = context.build_judge_prompts(criteria, context.judge_context(docs))
-    for name, step, model in [
-        ("verdicts", apply.judge_criteria, models.judge), ("dimensions", apply.judge_dimensions, models.dimension_judge),
-    ]:
-        pending = store.pending(name, prompted, CRITERION)
-        store.append(name, step(pending, model, CRITERION, models.partitions))
+    pending = store.pending("verdicts", prompted, CRITERION)
+    store.append("verdicts", apply.judge_criteria(pending, models.judge, CRITERION, models.partitions))
+    pending = store.pending("dimensions", criteria, CRITERION)
+    store.append("dimensions", apply.judge_dimensions(pending, models.dimension_judge, CRITERION, models.partitions))
     pending = store.pending("safety", apply.safety_work(answered.select(*CALL, "question", "response", "context")), METRIC)
     store.append("safety", apply.judge_safety(pending, models.safety_judge, METRIC, models.partitions))
 
@@ -69,7 +68,7 @@ def score(store: Store, work: DataFrame) -> dict[str, DataFrame]:
         last, ["run_id", "test_id", "criterion_seq"]))
 
     cases = work.groupBy("run_id", "test_id").agg(
-        F.first("category").alias("category"), F.first("weight").alias("weight"), F.first("question").alias("question"),
+        F.min("category").alias("category"), F.min("weight").alias("weight"), F.min("question").alias("question"),
         F.min("test_seq").alias("test_seq"))
     scores = scoring.test_scores(criteria_avg, cases.select("run_id", "test_id"))
     tests = store.replace("test_results", scores.join(cases, ["run_id", "test_id"]))
@@ -152,10 +151,11 @@ def attack(store: Store, prompts: DataFrame, targets: DataFrame, models: Models,
     key = ("run_id", "test_id")
     attacks = redteam.pick_attacks(prompts).withColumn(
         "test_id", F.concat_ws("|", "vulnerability", "vulnerability_type", F.col("prompt_id").cast("string")))
-    # The same few attacks meet every target: one array column instead of a cross join.
+    # The same attacks meet every target. Their number is fixed (per_type for each of the five
+    # vulnerability types), so the one row that holds them may be broadcast.
     packed = attacks.groupBy(F.lit(1).alias("_all")).agg(F.sort_array(F.collect_list(F.struct(
         "test_id", "vulnerability", "vulnerability_type", "attack", F.col("input").alias("question")))).alias("_attacks"))
-    work = targets.withColumn("_all", F.lit(1)).join(packed, "_all").select("run_id", "system_prompt", F.inline("_attacks"))
+    work = targets.withColumn("_all", F.lit(1)).join(F.broadcast(packed), "_all").select("run_id", "system_prompt", F.inline("_attacks"))
     calls = store.append("attack_calls", apply.generate_responses(store.pending("attack_calls", work, key), models.responder, key, models.partitions))
     answered = work.join(calls.select(*key, "response", F.col("error").alias("call_error")), list(key)).withColumn(
         "criterion", F.col("vulnerability")).withColumn("judge_prompt", F.lit(""))
