@@ -9,18 +9,20 @@ from ..functions.numeric import half_up, half_up_wide
 
 
 def _latency_bins(calls: DataFrame, by) -> DataFrame:
-    """Calls counted per run and latency rounded to hundredths.
+    """Calls counted per run, latency rounded to hundredths, and model.
 
     Reported latencies have two decimals and rounding keeps their order, so the ranked
     value of the rounded latencies is the rounded ranked value. A run of any size becomes
-    at most as many rows as it has distinct hundredths, mostly already before the shuffle.
+    at most as many rows as it has distinct hundredths and models, mostly already before
+    the shuffle. The model is a key because a text among the aggregates would make Spark
+    sort all calls.
     """
     latency = F.col("latency_seconds")
     words = F.col("response_words") if "response_words" in calls.columns else F.lit(0)
     return (
         calls.withColumn("_bin", F.when(latency > 0, half_up(latency, 2)))
         .withColumn("_words", words)
-        .groupBy(*by, "_bin")
+        .groupBy(*by, "_bin", "model_id")
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.sum(latency.cast("decimal(20,12)")).alias("_latency"),
@@ -28,7 +30,7 @@ def _latency_bins(calls: DataFrame, by) -> DataFrame:
             F.sum("output_tokens").alias("_out"),
             F.sum("_words").alias("_words"),
             F.sum(F.col("estimated_cost_usd").cast("decimal(20,12)")).alias("_cost"),
-            F.min(F.struct("test_seq", "model_id")).alias("_first"),
+            F.min("test_seq").alias("_first"),
         )
     )
 
@@ -37,28 +39,29 @@ def perf_summary(calls: DataFrame, by=("run_id",)) -> DataFrame:
     """Latency over successful calls (latency > 0), totals over all calls.
 
     p50 is the value at 0-based rank n div 2 and p95 the one at min(n * 95 div 100, n - 1):
-    nearest rank, not interpolated. `available` is false without a positive latency.
+    nearest rank, not interpolated. `available` is false without a positive latency. The
+    windows and the last aggregation share one shuffle of the counted rows.
     """
-    ordered = Window.partitionBy(*by, F.col("_bin").isNull()).orderBy("_bin")
-    whole = Window.partitionBy(*by, F.col("_bin").isNull())
-    reached = F.col("_reached")
+    timed = F.col("_bin").isNotNull()
+    n_timed = F.when(timed, F.col("_n")).otherwise(F.lit(0))
+    whole = Window.partitionBy(*by)
+    ordered = whole.orderBy(F.col("_bin").asc_nulls_first(), "model_id").rowsBetween(Window.unboundedPreceding, 0)
     p50_rank = F.expr("_timed div 2")
     p95_rank = F.least(F.expr("(_timed * 95) div 100"), F.col("_timed") - 1)
 
     def at(rank):
-        return F.max(F.when(F.col("_bin").isNotNull() & (reached > rank) & (reached - F.col("_n") <= rank), F.col("_bin")))
+        reached = F.col("_reached")
+        return F.max(F.when(timed & (reached > rank) & (reached - F.col("_n") <= rank), F.col("_bin")))
 
-    timed = F.col("_bin").isNotNull()
-    n_timed = F.sum(F.when(timed, F.col("_n")))
-    all_calls = F.sum("_n")
+    all_calls, all_timed = F.sum("_n"), F.sum(n_timed)
     return (
         _latency_bins(calls, by)
-        .withColumn("_reached", F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_timed", F.sum("_n").over(whole))
+        .withColumn("_reached", F.sum(n_timed).over(ordered))
+        .withColumn("_timed", F.sum(n_timed).over(whole))
         .groupBy(*by)
         .agg(
-            (F.coalesce(n_timed, F.lit(0)) > 0).alias("available"),
-            half_up(F.sum(F.when(timed, F.col("_latency"))).cast("double") / n_timed, 2).alias("avg_latency"),
+            (all_timed > 0).alias("available"),
+            half_up(F.sum(F.when(timed, F.col("_latency"))).cast("double") / F.nullif(all_timed, F.lit(0)), 2).alias("avg_latency"),
             F.min("_bin").alias("min_latency"),
             F.max("_bin").alias("max_latency"),
             at(p50_rank).alias("p50_latency"),
@@ -69,7 +72,7 @@ def perf_summary(calls: DataFrame, by=("run_id",)) -> DataFrame:
             half_up(F.sum("_out").cast("double") / all_calls, 0).cast("bigint").alias("avg_output_tokens"),
             half_up(F.sum("_words").cast("double") / all_calls, 0).cast("bigint").alias("avg_response_words"),
             half_up_wide(F.sum("_cost").cast("double"), 4).alias("estimated_cost_usd"),
-            F.min("_first")["model_id"].alias("model_id"),
+            F.min(F.struct("_first", "model_id"))["model_id"].alias("model_id"),
         )
     )
 
