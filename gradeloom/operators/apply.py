@@ -198,11 +198,17 @@ def pending_work(work: DataFrame, done: DataFrame, keys=CRITERION_KEY) -> DataFr
     return work.join(done.select(*keys), list(keys), "left_anti")
 
 
+def retry_policy(calls: DataFrame) -> DataFrame:
+    """What happens to each call: whether its error may pass, whether it is tried again, and
+    how long to wait before. The same rules as `with_retry`, for calls kept in a table."""
+    transient = F.coalesce(text.is_transient("error"), F.lit(False))
+    again = transient & (F.col("attempt") < fv.MAX_ATTEMPTS)
+    wait = (F.pow(F.lit(2.0), F.col("attempt") - 1) * fv.FIRST_WAIT_SECONDS).cast("bigint")
+    return calls.withColumns({"transient": transient, "retry": again, "delay_seconds": F.when(again, wait)})
+
+
 def retry_worklist(calls: DataFrame, keys=CALL_KEY) -> DataFrame:
     """Calls whose latest attempt failed for a passing reason and may be tried again."""
     latest = calls.groupBy(*keys).agg(F.max(F.struct("attempt", "error")).alias("_l"))
-    return (
-        latest.select(*keys, F.col("_l.attempt").alias("attempt"), F.col("_l.error").alias("error"))
-        .filter(text.is_transient("error") & (F.col("attempt") < fv.MAX_ATTEMPTS))
-        .withColumn("delay_seconds", (F.pow(F.lit(2.0), F.col("attempt") - 1) * fv.FIRST_WAIT_SECONDS).cast("bigint"))
-    )
+    latest = latest.select(*keys, F.col("_l.attempt").alias("attempt"), F.col("_l.error").alias("error"))
+    return retry_policy(latest).filter("retry").drop("transient", "retry")

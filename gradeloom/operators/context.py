@@ -66,6 +66,13 @@ def distinct_docs(docs: DataFrame) -> DataFrame:
     return smallest_n(docs, ["role_slug", "file_name"], order, 1).drop("rank", *order)
 
 
+def requested_docs(requests: DataFrame, docs: DataFrame) -> DataFrame:
+    """Documents asked for by path: `requests` has role_slug and an array of paths, `docs` has
+    path, file_name and content. A path that no document has is skipped."""
+    wanted = requests.select("role_slug", F.explode("paths").alias("path")).distinct()
+    return distinct_docs(wanted.join(docs.select("path", "file_name", "content"), "path"))
+
+
 def context_parts(docs: DataFrame) -> DataFrame:
     """The whole context of every role as its parts. Joined by a blank line in order of the
     file name they are the context text; as rows they stay distributed, so the documents

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv, labels
+from ..session import shared_dir
 from ..operators import calibrate, compare, marts, perf, recommend, redteam, repeats, safety, scoring
 from . import bindings as b
 from .bindings import (
@@ -107,6 +108,11 @@ def grade(spark, d):
     return b.eval_runs(spark, d).select("id", "overall_pct", "grade", labels.pass_warn_fail("overall_pct").alias("verdict"))
 
 
+@query("pass_warn_fail", with_tables("runs") + f"SELECT id, run_type, {sql_verdict('overall_pct')} AS verdict FROM runs")
+def pass_warn_fail(spark, d):
+    return b.eval_runs(spark, d).select("id", "run_type", labels.pass_warn_fail("overall_pct").alias("verdict"))
+
+
 @query("score_band", with_tables("runs") + """SELECT id,
   CASE WHEN overall_pct / 100 >= 0.9 THEN 'good' WHEN overall_pct / 100 >= 0.75 THEN 'fair' ELSE 'poor' END AS score_band,
   CASE WHEN overall_pct >= 90 THEN 'good' WHEN overall_pct >= 75 THEN 'fair' ELSE 'poor' END AS category_band,
@@ -595,3 +601,25 @@ def report_mart_tests(spark, d):
   CASE WHEN avg_score > 0.5 THEN 'poor' WHEN avg_score > 0.1 THEN 'fair' ELSE 'good' END AS band FROM ({SAFETY_SUMMARY} WHERE n > 0) s""")
 def report_mart_safety(spark, d):
     return marts.safety_mart(b.safety_rows(spark, d))
+
+
+MART_SAFETY = "SELECT * REPLACE (test_id % 100 AS run_id) FROM safety"
+
+
+@query("report_mart", with_tables("tests", "calls", "safety") + f"""SELECT 'runs' AS mart, count(DISTINCT run_id) AS num_rows FROM tests
+  UNION ALL SELECT 'categories', count(*) FROM (SELECT DISTINCT run_id, category FROM tests) c
+  UNION ALL SELECT 'tests', count(*) FROM tests UNION ALL SELECT 'safety', count(*) FROM (SELECT DISTINCT run_id, metric FROM ({MART_SAFETY}) s WHERE score IS NOT NULL) m
+  UNION ALL SELECT 'safety_overall', count(DISTINCT run_id) FROM ({MART_SAFETY}) s
+  UNION ALL SELECT 'flagged', count(*) FROM safety WHERE score IS NOT NULL AND NOT passed
+  UNION ALL SELECT 'performance', count(DISTINCT run_id) FROM calls""")
+def report_mart(spark, d):
+    """All report tables written, one folder each, then read back and counted."""
+    calls = perf.priced(b.calls(spark, d)).withColumn("question", F.lit("q")).withColumn("response", F.lit("r"))
+    verdicts = b.safety_rows(spark, d).withColumn("run_id", F.col("test_id") % 100)
+    root = shared_dir(spark, "report")
+    counts = None
+    for name, mart in marts.report_mart(b.criteria(spark, d), b.cases(spark, d), calls, verdicts).items():
+        mart.write.parquet(f"{root}/{name}")
+        rows = spark.read.parquet(f"{root}/{name}").agg(F.count(F.lit(1)).alias("num_rows")).select(F.lit(name).alias("mart"), "num_rows")
+        counts = rows if counts is None else counts.unionByName(rows)
+    return counts

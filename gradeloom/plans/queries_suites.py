@@ -261,6 +261,13 @@ def resolve_run_config(spark, d):
         roles.run_label().alias("run_label"), roles.model_display_name("target_model", "target_provider").alias("display_name"))
 
 
+@query("model_display_name", "SELECT c_custkey, c_mktsegment || ' (provider_' || (c_custkey % 3) || ')' AS display_name FROM customer")
+def model_display_name(spark, d):
+    provider = F.concat(F.lit("provider_"), (F.col("c_custkey") % 3).cast("string")).alias("provider")
+    return b.table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("model"), provider).select(
+        "c_custkey", roles.model_display_name().alias("display_name"))
+
+
 def _work(spark, d):
     """Suppliers are run requests; ten neighbouring parts are the suite of a role."""
     key = F.col("s_suppkey")
@@ -297,6 +304,16 @@ def read_reference_docs(spark, d):
     return context.distinct_docs(folder.unionByName(root))
 
 
+@query("read_source_docs", "SELECT lang AS role_slug, 'doc_' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' AS file_name, text AS content FROM documents")
+def read_source_docs(spark, d):
+    """Each language asks for its documents by path, twice, and for paths that do not exist."""
+    path = F.format_string("docs/doc_%09d.md", "doc_id")
+    docs = b.table(spark, d, "documents")
+    requests = docs.select(F.col("lang").alias("role_slug"), F.array(path, F.concat(path, F.lit(".gone")), path).alias("paths"))
+    stored = b.reference_docs(spark, d).withColumn("path", F.concat(F.lit("docs/"), "file_name")).drop("role_slug")
+    return context.requested_docs(requests, stored)
+
+
 @query("build_context", with_tables("docs") + "SELECT role_slug, file_name, '### ' || file_name || chr(10) || content AS part_text FROM docs")
 def build_context(spark, d):
     return context.context_parts(b.reference_docs(spark, d))
@@ -494,6 +511,13 @@ def pending_work(spark, d):
     return apply.pending_work(work.select(*apply.CRITERION_KEY, "criterion"), done)
 
 
+@query("retry_policy", with_tables("calls") + """SELECT run_id, test_id, attempt, transient, retry, CASE WHEN retry THEN CAST(2 * pow(2, attempt - 1) AS BIGINT) END AS delay_seconds
+  FROM (SELECT *, transient AND attempt < 3 AS retry FROM (SELECT *, coalesce(regexp_matches(lower(error),
+  'rate limit|429|timeout|connection|502|503|504|server error|overloaded|capacity|retry'), false) AS transient FROM calls) t) r""")
+def retry_policy(spark, d):
+    return apply.retry_policy(b.calls(spark, d)).select("run_id", "test_id", "attempt", "transient", "retry", "delay_seconds")
+
+
 @query("retry_worklist", with_tables("calls") + """SELECT run_id, k, attempt, error, CAST(2 * pow(2, attempt - 1) AS BIGINT) AS delay_seconds FROM (
   SELECT c.run_id, c.k, c.attempt, max(c.error) AS error FROM calls c JOIN (SELECT run_id, k, max(attempt) AS attempt FROM calls GROUP BY run_id, k) m
   ON m.run_id = c.run_id AND m.k = c.k AND m.attempt = c.attempt GROUP BY c.run_id, c.k, c.attempt) l
