@@ -42,8 +42,9 @@ def rec_category(categories: DataFrame, by=("run_id",)) -> DataFrame:
 
 
 def rec_criterion(criteria: DataFrame, by=("run_id",), ties=("test_seq", "criterion_seq")) -> DataFrame:
-    """Of the 8 weakest criteria of a run, those below 0.7."""
-    weak = weakest_criteria(criteria, fv.IMPROVER_RECOMMENDATIONS, by, ties).filter(F.col("score") < fv.WEAK_BELOW)
+    """Of the 8 weakest criteria of a run, those below 0.7. Filtering first gives the same
+    rows, and the scan then drops what could not be among them."""
+    weak = weakest_criteria(criteria.filter(F.col("score") < fv.WEAK_BELOW), fv.IMPROVER_RECOMMENDATIONS, by, ties)
     texts = _texts(
         fv.CRITERION_WEAK, t=F.col("test_id").cast("string"), s=F.substring("text", 1, 80), c=F.col("text"),
         l=F.lower("text"), p=half_up(F.col("score") * 100, 0).cast("bigint").cast("string"),

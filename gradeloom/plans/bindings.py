@@ -112,7 +112,7 @@ def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
 def criteria_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the position of each criterion in its test. One (run, test) may hold any share of
     the rows, so the positions are counted in ranges of the order key."""
-    return numbered(criteria(spark, sf_dir), ["run_id", "test_id"], CRITERION_ORDER, "criterion_seq", width=1 << 20)
+    return numbered(criteria(spark, sf_dir), ["run_id", "test_id"], CRITERION_ORDER, "criterion_seq", width=1 << 16)
 
 
 define("criteria", """SELECT l_suppkey AS run_id, l_partkey AS test_id, l_partkey AS test_seq,

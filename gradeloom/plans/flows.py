@@ -62,23 +62,16 @@ def score(store: Store, work: DataFrame) -> dict[str, DataFrame]:
     criteria = ingest.explode_criteria(work.select(*CALL, "test_seq", "criteria")).withColumnRenamed("criterion", "text")
     aligned = apply.align_verdicts(criteria, verdicts, CRITERION).join(
         dimensions.select(*CRITERION, "dag_dimensions", "dag_score"), list(CRITERION), "left")
-    last = aligned.groupBy("run_id", "test_id", "criterion_seq").agg(
-        F.max_by("dag_dimensions", "repeat").alias("dag_dimensions"), F.max("test_seq").alias("test_seq"))
-    criteria_avg = store.replace("criterion_results", repeats.average_criteria(aligned).join(
-        last, ["run_id", "test_id", "criterion_seq"]))
+    criteria_avg = store.replace("criterion_results", repeats.average_criteria(aligned))
 
     cases = work.groupBy("run_id", "test_id").agg(
         F.min("category").alias("category"), F.min("weight").alias("weight"), F.min("question").alias("question"),
         F.min("test_seq").alias("test_seq"))
     scores = scoring.test_scores(criteria_avg, cases.select("run_id", "test_id"))
     tests = store.replace("test_results", scores.join(cases, ["run_id", "test_id"]))
-    calls = store.read("calls")
-    words = calls.groupBy("run_id", "test_id").agg(F.max_by("response_words", "repeat").alias("response_words"))
-    call_avg = repeats.average_calls(calls).join(words, ["run_id", "test_id"]).join(
+    call_avg = repeats.average_calls(store.read("calls")).join(
         cases.select("run_id", "test_id", "test_seq", "question"), ["run_id", "test_id"])
-    verdict_avg = repeats.average_safety(store.read("safety")).join(
-        store.read("safety").groupBy("run_id", "test_id", "metric").agg(F.max_by("reason", "repeat").alias("reason")),
-        ["run_id", "test_id", "metric"])
+    verdict_avg = repeats.average_safety(store.read("safety"))
 
     categories, runs = scoring.category_scores(tests), scoring.run_scores(tests)
     tables = {

@@ -226,7 +226,8 @@ REPEATED = "SELECT * REPLACE (run_id // 10 AS run_id), run_id % 10 AS repeat FRO
   {sql_round(sql_units_avg('score'), 2)} AS score, {sql_round(sql_units_avg('dag_score'), 2)} AS dag_score,
   arg_max(text, repeat) AS text FROM ({REPEATED}) c GROUP BY run_id, test_id, criterion_seq""")
 def average_repeats(spark, d):
-    return repeats.average_criteria(_repeated(b.criteria_numbered(spark, d)))
+    rows = _repeated(b.criteria_numbered(spark, d)).drop("dag_dimensions", "test_seq")
+    return repeats.average_criteria(rows)
 
 
 @query("average_repeats_safety", with_tables("safety") + f"""SELECT lang AS run_id, metric, score, coalesce(score <= 0.5, false) AS passed FROM (
@@ -234,13 +235,13 @@ def average_repeats(spark, d):
   GROUP BY d.lang, s.metric) x""")
 def average_repeats_safety(spark, d):
     langs = b.table(spark, d, "documents").select(F.col("doc_id").alias("test_id"), "lang")
-    rows = b.safety_rows(spark, d).join(langs, "test_id").withColumn("run_id", F.col("lang"))
+    rows = b.safety_rows(spark, d).join(langs, "test_id").withColumn("run_id", F.col("lang")).withColumn("repeat", F.col("test_id")).drop("reason")
     return repeats.average_safety(rows, keys=("run_id", "metric"))
 
 
 @query("average_repeats_calls", with_tables("calls") + f"""SELECT run_id, k, {sql_round(sql_avg('latency_seconds'), 2)} AS latency_seconds,
-  arg_max(input_tokens, test_id) AS input_tokens, arg_max(output_tokens, test_id) AS output_tokens, arg_max(model_id, test_id) AS model_id
-  FROM calls GROUP BY run_id, k""")
+  arg_max(input_tokens, test_id) AS input_tokens, arg_max(output_tokens, test_id) AS output_tokens, arg_max(response_words, test_id) AS response_words,
+  arg_max(model_id, test_id) AS model_id, max(test_id) AS test_seq FROM calls GROUP BY run_id, k""")
 def average_repeats_calls(spark, d):
     return repeats.average_calls(b.calls(spark, d), repeat="test_id", keys=("run_id", "k"))
 
