@@ -45,15 +45,19 @@ def respond(store: Store, work: DataFrame, models: Models) -> DataFrame:
 
 def judge(store: Store, work: DataFrame, calls: DataFrame, docs: DataFrame, models: Models) -> None:
     """Criterion, dimension and safety verdicts of every response."""
-    answered = work.join(calls.select(*CALL, "response"), list(CALL))
-    criteria = ingest.explode_criteria(answered.select(*CALL, "role_slug", "domain", "question", "response", "criteria"))
-    prompted = context.build_judge_prompts(criteria, context.judge_context(docs))
-    pending = store.pending("verdicts", prompted, CRITERION)
-    store.append("verdicts", apply.judge_criteria(pending, models.judge, CRITERION, models.partitions))
-    pending = store.pending("dimensions", criteria, CRITERION)
-    store.append("dimensions", apply.judge_dimensions(pending, models.dimension_judge, CRITERION, models.partitions))
-    pending = store.pending("safety", apply.safety_work(answered.select(*CALL, "question", "response", "context")), METRIC)
-    store.append("safety", apply.judge_safety(pending, models.safety_judge, METRIC, models.partitions))
+    responses = calls.select(*CALL, "response")
+    criteria = ingest.explode_criteria(work.select(*CALL, "role_slug", "domain", "question", "criteria"))
+
+    def unanswered(table: str) -> DataFrame:
+        """Criteria without a verdict, and only then their responses: the comparison with the
+        written keys moves no long texts."""
+        return store.pending(table, criteria, CRITERION).join(responses, list(CALL))
+
+    prompted = context.build_judge_prompts(unanswered("verdicts"), context.judge_context(docs))
+    store.append("verdicts", apply.judge_criteria(prompted, models.judge, CRITERION, models.partitions))
+    store.append("dimensions", apply.judge_dimensions(unanswered("dimensions"), models.dimension_judge, CRITERION, models.partitions))
+    checks = store.pending("safety", apply.safety_work(work.select(*CALL, "question", "context")), METRIC)
+    store.append("safety", apply.judge_safety(checks.join(responses, list(CALL)), models.safety_judge, METRIC, models.partitions))
 
 
 def score(store: Store, work: DataFrame) -> dict[str, DataFrame]:
@@ -120,9 +124,8 @@ def calibrate_judge(store: Store, goldens: DataFrame, docs: DataFrame, models: M
     """Judge every gold item, then measure the judge. Gold items have role_slug and domain."""
     key = ("id", "criterion_seq")
     rows = calibrate.explode_goldens(goldens)
-    prompted = context.build_judge_prompts(rows, context.judge_context(docs))
-    pending = store.pending("gold_verdicts", prompted, key)
-    verdicts = store.append("gold_verdicts", apply.judge_criteria(pending, models.judge, key, models.partitions))
+    prompted = context.build_judge_prompts(store.pending("gold_verdicts", rows, key), context.judge_context(docs))
+    verdicts = store.append("gold_verdicts", apply.judge_criteria(prompted, models.judge, key, models.partitions))
     scored = rows.join(verdicts.select(*key, F.col("score").alias("geval")), list(key), "left").withColumnRenamed("id", "test_id")
     results = store.replace("calibration_results", calibrate.calibration_results(scored))
     headline = calibrate.calibration_run(results).withColumn("judge_model", F.lit(judge_model)).withColumn(

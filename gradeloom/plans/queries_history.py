@@ -22,26 +22,35 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-RUN_COLUMNS = "id, timestamp, role, model, overall_pct, dag_pct, consolidated_pct, grade, run_type"
-RUN_LIST = RUN_COLUMNS.split(", ")
+SQL_TIME = "strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp"
+
+RUN_COLUMNS = f"id, {SQL_TIME}, role, model, overall_pct, dag_pct, consolidated_pct, grade, run_type"
+
+
+def time_text():
+    return F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp")
+
+
+def run_columns(runs):
+    return runs.select("id", time_text(), "role", "model", "overall_pct", "dag_pct", "consolidated_pct", "grade", "run_type")
 
 
 # --- reading history -----------------------------------------------------------------
 
 @query("history", with_tables("runs") + f"SELECT {RUN_COLUMNS} FROM runs WHERE role = '2-HIGH' ORDER BY id DESC LIMIT 100")
 def history_newest(spark, d):
-    return history.history(b.eval_runs(spark, d), "2-HIGH").select(*RUN_LIST)
+    return run_columns(history.history(b.eval_runs(spark, d), "2-HIGH"))
 
 
 @query("run_by_id", with_tables("runs") + f"SELECT {RUN_COLUMNS} FROM runs WHERE id = 1234")
 def run_by_id(spark, d):
-    return history.run_by_id(b.eval_runs(spark, d), 1234).select(*RUN_LIST)
+    return run_columns(history.run_by_id(b.eval_runs(spark, d), 1234))
 
 
-@query("calibration_history", with_tables("runs") + "SELECT id, timestamp, judge_model, overall_pct AS accuracy FROM runs ORDER BY id DESC LIMIT 20")
+@query("calibration_history", with_tables("runs") + f"SELECT id, {SQL_TIME}, judge_model, overall_pct AS accuracy FROM runs ORDER BY id DESC LIMIT 20")
 def calibration_history(spark, d):
     rows = b.eval_runs(spark, d).select("id", "timestamp", "judge_model", F.col("overall_pct").alias("accuracy"))
-    return history.calibration_history(rows)
+    return history.calibration_history(rows).withColumn("timestamp", time_text())
 
 
 @query("split_by_run_type", with_tables("runs") + """SELECT 'comparison' AS kind, id, run_type FROM runs WHERE run_type LIKE 'comparison%'

@@ -315,13 +315,13 @@ def ab_wins(spark, d):
     return compare.ab_wins(ab_tests(spark, d), "test").unionByName(compare.ab_wins(ab_categories(spark, d), "category"))
 
 
-@query("pair_ab_history", with_tables("runs") + f"""SELECT coalesce(x.report_path, y.report_path) AS report_path, coalesce(x.timestamp, y.timestamp) AS timestamp,
+@query("pair_ab_history", with_tables("runs") + f"""SELECT coalesce(x.report_path, y.report_path) AS report_path, strftime(coalesce(x.timestamp, y.timestamp), '%Y-%m-%d %H:%M:%S') AS timestamp,
   coalesce(x.role, y.role) AS role, x.label AS a_label, x.score AS a_score, x.g AS a_grade, y.label AS b_label, y.score AS b_score, y.g AS b_grade,
   {sql_round('coalesce(y.score, 0.0) - coalesce(x.score, 0.0)', 1)} AS delta FROM
   (SELECT *, coalesce(nullif(consolidated_pct, 0), nullif(overall_pct, 0), 0) AS score, consolidated_grade AS g, notes AS label FROM runs WHERE run_type = 'comparison_A') x FULL OUTER JOIN
   (SELECT *, coalesce(nullif(consolidated_pct, 0), nullif(overall_pct, 0), 0) AS score, consolidated_grade AS g, notes AS label FROM runs WHERE run_type = 'comparison_B') y ON x.report_path = y.report_path""")
 def pair_ab_history(spark, d):
-    return compare.pair_ab_history(b.eval_runs(spark, d))
+    return compare.pair_ab_history(b.eval_runs(spark, d)).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
 
 
 # --- recommendations -----------------------------------------------------------------
