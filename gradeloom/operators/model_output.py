@@ -54,18 +54,19 @@ def parse_json_array(df: DataFrame, raw: str, item_schema: str = CASE_SCHEMA) ->
     first to the last bracket) or rejected (items NULL)."""
     plain, sliced = without_fence(raw), bracket_slice(raw)
     # One column per step, so that each text is parsed once however often the result is used.
+    # The result passes through a generator: a later filter on it would otherwise be pushed
+    # below the steps, with a copy of the parser for every mention of a column.
     return (
         df.withColumn("_text", plain)
         .withColumn("_p", F.when(F.col("_text").startswith("["), _parse(F.col("_text"), item_schema)))
         .withColumn("_plain", _array_of("_p"))
         .withColumn("_s", F.when(F.col("_plain").isNull(), _parse(sliced, item_schema)))
         .withColumn("_salvaged", _array_of("_s"))
-        .withColumn("items", F.coalesce("_plain", "_salvaged"))
-        .withColumn(
-            "parsed_by",
-            F.when(F.col("_plain").isNotNull(), "fence").when(F.col("_salvaged").isNotNull(), "slice").otherwise("rejected"),
-        )
-        .drop("_text", "_p", "_plain", "_s", "_salvaged")
+        .select(*df.columns, F.inline(F.array(F.struct(
+            F.coalesce("_plain", "_salvaged").alias("items"),
+            F.when(F.col("_plain").isNotNull(), "fence").when(F.col("_salvaged").isNotNull(), "slice")
+            .otherwise("rejected").alias("parsed_by"),
+        ))))
     )
 
 
