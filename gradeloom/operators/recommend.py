@@ -25,20 +25,43 @@ def _when(condition, then: dict, otherwise: dict) -> dict:
     return {field: F.when(condition, then[field]).otherwise(otherwise[field]) for field in then}
 
 
-def _shape(df: DataFrame, by, stage: int, order, priority, category, texts: dict) -> DataFrame:
-    return df.select(
-        *by, F.lit(stage).alias("stage"), F.col(order).cast("bigint").alias("stage_order"),
-        priority.alias("priority"), category.alias("category"), *[c.alias(f) for f, c in texts.items()],
+def _rec(stage: int, order, priority, category, texts: dict):
+    return F.struct(
+        F.lit(stage).alias("stage"), order.cast("bigint").alias("stage_order"), priority.alias("priority"),
+        category.alias("category"), *[c.alias(f) for f, c in texts.items()],
     )
 
 
-def rec_category(categories: DataFrame, by=("run_id",)) -> DataFrame:
-    """Categories below 70 % (HIGH) or 85 % (MEDIUM), by the rounded score."""
+def _emit(df: DataFrame, by, *rules) -> DataFrame:
+    """One row per rule that applies; rules on the same rows are tried in one pass."""
+    return df.select(*by, F.inline_outer(F.array_compact(F.array(*rules)))).filter(F.col("stage").isNotNull())
+
+
+def _category_rule():
     pct = F.col("category_pct")
     values = {"c": F.col("category"), "l": F.lower("category"), "p": one_decimal("category_pct")}
     texts = _when(pct < 70, _texts(fv.CATEGORY_CRITICAL, **values), _texts(fv.CATEGORY_MODERATE, **values))
-    low = categories.filter(pct < 85)
-    return _shape(low, by, STAGE_CATEGORY, "first_seq", F.when(pct < 70, "HIGH").otherwise("MEDIUM"), F.col("category"), texts)
+    priority = F.when(pct < 70, "HIGH").otherwise("MEDIUM")
+    return F.when(pct < 85, _rec(STAGE_CATEGORY, F.col("first_seq"), priority, F.col("category"), texts))
+
+
+def _pattern_rule():
+    hit = None
+    for i, (category, priority, *texts) in enumerate(fv.PATTERN_RULES):
+        row = _rec(STAGE_PATTERN, F.lit(i), F.lit(priority), F.col("category"), dict(zip(FIELDS[2:], map(F.lit, texts))))
+        known = F.col("category") == category
+        hit = F.when(known, row) if hit is None else hit.when(known, row)
+    return F.when(F.col("category_score") < fv.PATTERN_BELOW, hit)
+
+
+def rec_category(categories: DataFrame, by=("run_id",)) -> DataFrame:
+    """Categories below 70 % (HIGH) or 85 % (MEDIUM), by the rounded score."""
+    return _emit(categories, by, _category_rule())
+
+
+def rec_pattern(categories: DataFrame, by=("run_id",)) -> DataFrame:
+    """Four known categories whose unrounded mean is below 0.85."""
+    return _emit(categories, by, _pattern_rule())
 
 
 def rec_criterion(criteria: DataFrame, by=("run_id",), ties=("test_seq", "criterion_seq")) -> DataFrame:
@@ -49,8 +72,8 @@ def rec_criterion(criteria: DataFrame, by=("run_id",), ties=("test_seq", "criter
         fv.CRITERION_WEAK, t=F.col("test_id").cast("string"), s=F.substring("text", 1, 80), c=F.col("text"),
         l=F.lower("text"), p=half_up(F.col("score") * 100, 0).cast("bigint").cast("string"),
     )
-    return _shape(weak, by, STAGE_CRITERION, "rank", F.when(F.col("score") < 0.4, "HIGH").otherwise("MEDIUM"),
-                  F.lit("Specific Criterion"), texts)
+    priority = F.when(F.col("score") < 0.4, "HIGH").otherwise("MEDIUM")
+    return _emit(weak, by, _rec(STAGE_CRITERION, F.col("rank"), priority, F.lit("Specific Criterion"), texts))
 
 
 def rec_overall(runs: DataFrame, by=("run_id",)) -> DataFrame:
@@ -58,32 +81,17 @@ def rec_overall(runs: DataFrame, by=("run_id",)) -> DataFrame:
     pct = F.col("overall_pct")
     values = {"p": one_decimal("overall_pct")}
     texts = _when(pct < 80, _texts(fv.OVERALL_LOW, **values), _texts(fv.OVERALL_STRONG, **values))
-    hit = runs.filter((pct < 80) | (pct >= 90)).withColumn("_zero", F.lit(0))
-    return _shape(hit, by, STAGE_OVERALL, "_zero", F.when(pct < 80, "HIGH").otherwise("LOW"), F.lit("Overall"), texts)
-
-
-def rec_pattern(categories: DataFrame, by=("run_id",)) -> DataFrame:
-    """Four known categories whose unrounded mean is below 0.85."""
-    names = ("_rule", "priority", *FIELDS[2:])
-    rule = F.lit(None)
-    for i, (category, *values) in enumerate(fv.PATTERN_RULES):
-        row = F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (i, *values))])
-        rule = F.when(F.col("category") == category, row).otherwise(rule)
-    hit = categories.filter(
-        F.col("category").isin([r[0] for r in fv.PATTERN_RULES]) & (F.col("category_score") < fv.PATTERN_BELOW)
-    ).withColumn("_hit", rule).withColumn("_order", F.col("_hit._rule"))
-    texts = {f: F.col(f"_hit.{f}") for f in FIELDS[2:]}
-    return _shape(hit, by, STAGE_PATTERN, "_order", F.col("_hit.priority"), F.col("category"), texts)
+    rec = _rec(STAGE_OVERALL, F.lit(0), F.when(pct < 80, "HIGH").otherwise("LOW"), F.lit("Overall"), texts)
+    return _emit(runs, by, F.when((pct < 80) | (pct >= 90), rec))
 
 
 def recommendations(criteria: DataFrame, categories: DataFrame, runs: DataFrame, by=("run_id",),
                     ties=("test_seq", "criterion_seq")) -> DataFrame:
     """All rules together, one row per run and title: the highest ranked one is kept."""
     found = (
-        rec_category(categories, by)
+        _emit(categories, by, _category_rule(), _pattern_rule())
         .unionByName(rec_criterion(criteria, by, ties))
         .unionByName(rec_overall(runs, by))
-        .unionByName(rec_pattern(categories, by))
     )
     rank = F.lit(len(fv.PRIORITIES))
     for i, name in enumerate(fv.PRIORITIES):
