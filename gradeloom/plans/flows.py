@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import fixed_values as fv, text
 from ..operators import apply, calibrate, compare, context, history, ingest, marts, perf, recommend, redteam, repeats, roles, safety, scoring
 from .store import Store
 
@@ -31,11 +32,28 @@ class Models:
     partitions: int | None = None  # tasks, and so calls, at the same time
 
 
-def plan_work(specs: DataFrame, cases: DataFrame, role_table: DataFrame) -> DataFrame:
-    """Run requests (run_id, role_slug, repeat) to one row per call, with prompt and domain."""
-    work = roles.expand_run_specs(specs, ingest.apply_defaults(cases))
+def with_prompts(specs: DataFrame, role_table: DataFrame, prompt_files: DataFrame | None = None) -> DataFrame:
+    """Run requests with domain and system prompt. A request may name a prompt_source: local,
+    none, weak (the weak variant of the role where there is one), custom:text or file:path."""
     prompts = role_table.select("role_slug", "system_prompt", "domain")
-    return work.join(prompts, "role_slug")
+    if "prompt_source" not in specs.columns:
+        return specs.join(prompts, "role_slug")
+    weak = role_table.filter(F.col("role_slug").endswith(fv.WEAK_SUFFIX)).select(
+        text.base_slug("role_slug").alias("role_slug"), F.col("system_prompt").alias("_weak"))
+    local = F.when(F.col("prompt_source") == "weak", F.coalesce("_weak", "system_prompt")).otherwise(F.col("system_prompt"))
+    requests = specs.join(prompts, "role_slug").join(weak, "role_slug", "left").withColumn("local_prompt", local)
+    if prompt_files is None:
+        prompt_files = specs.sparkSession.createDataFrame([], "file_path string, content string")
+    resolved = roles.resolve_prompt(requests.drop("_weak", "system_prompt"), prompt_files)
+    missing = resolved.filter("missing_file").select("prompt_source").limit(1).collect()
+    if missing:
+        raise FileNotFoundError(f"no prompt file for {missing[0][0]}")
+    return resolved.drop("local_prompt", "missing_file").withColumnRenamed("resolved_prompt", "system_prompt")
+
+
+def plan_work(specs: DataFrame, cases: DataFrame, role_table: DataFrame, prompt_files: DataFrame | None = None) -> DataFrame:
+    """Run requests (run_id, role_slug, repeat) to one row per call, with prompt and domain."""
+    return roles.expand_run_specs(with_prompts(specs, role_table, prompt_files), ingest.apply_defaults(cases))
 
 
 def respond(store: Store, work: DataFrame, models: Models) -> DataFrame:
@@ -88,11 +106,11 @@ def score(store: Store, work: DataFrame) -> dict[str, DataFrame]:
 
 
 def evaluate(store: Store, specs: DataFrame, cases: DataFrame, role_table: DataFrame, docs: DataFrame, models: Models,
-             labels: DataFrame | None = None) -> dict[str, DataFrame]:
+             labels: DataFrame | None = None, prompt_files: DataFrame | None = None) -> dict[str, DataFrame]:
     """An evaluation of any number of runs; appends one history row per run. `labels` holds
     further columns per run for the history (model, prompt source, run type, notes)."""
     ingest.fail_fast(cases)
-    work = plan_work(specs, cases, role_table)
+    work = plan_work(specs, cases, role_table, prompt_files)
     calls = respond(store, work, models)
     judge(store, work, calls, docs, models)
     tables = score(store, work)

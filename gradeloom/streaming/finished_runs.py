@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.spread import smallest_n
+
 
 def append_history_stream(runs: DataFrame, table: str, checkpoint: str, key: str = "run_id", available_now: bool = False):
     """Each micro-batch is written to its own partition in overwrite mode, so a batch that
-    Spark repeats after a failure replaces its rows instead of adding them again."""
+    Spark repeats after a failure replaces its rows instead of adding them again. Of several
+    rows of one run in a batch the same one is kept each time."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        kept = smallest_n(batch, [key], [F.xxhash64(*batch.columns)], 1).drop("rank")
+        kept.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     writer = runs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -146,3 +146,18 @@ def test_history_stream_is_idempotent(spark, tmp_path):
     runs.union(spark.createDataFrame([("c", 3.0)], runs.schema)).write.mode("append").parquet(source)
     finished_runs.append_history_stream(stream, table, checkpoint, available_now=True).awaitTermination()
     assert sorted(r.run_id for r in finished_runs.read_history_stream(spark, table).collect()) == ["a", "b", "c"]
+
+
+def test_prompt_sources_of_run_requests(spark):
+    _, cases, role_table, _ = _inputs(spark)
+    schema = "run_id string, role_slug string, repeat int, prompt_source string"
+    specs = spark.createDataFrame([
+        ("l", "eng", 1, "local"), ("n", "eng", 1, "none"), ("c", "eng", 1, "custom:Hi"), ("f", "eng", 1, "file:/p"),
+        ("w", "eng", 1, "weak"), ("o", "ops", 2, "weak")], schema)
+    files = spark.createDataFrame([("/p", " From file ")], "file_path string, content string")
+    work = flows.plan_work(specs, cases, role_table, files)
+    got = {r.run_id: (r.system_prompt, r.n) for r in work.groupBy("run_id", "system_prompt").agg(F.count("*").alias("n")).collect()}
+    assert got == {"l": ("You are an engineer.", 2), "n": ("", 2), "c": ("Hi", 2), "f": ("From file", 2), "w": ("Engineer.", 2),
+                   "o": ("You run things.", 2)}
+    with pytest.raises(FileNotFoundError):
+        flows.plan_work(specs, cases, role_table)
