@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, packing, quality_rules
+from . import chat_format, decontaminate, license_scan, packing, quality_rules, substring_dedup
 
 QUERIES: dict = {
     "op1_packing": (packing.query, None),
     "op4_quality_rules": (quality_rules.query, None),
     "op6_license_scan": (license_scan.query, None),
     "op7_decontaminate": (decontaminate.query, decontaminate.SQL),
+    "op9_substring_dedup": (substring_dedup.query, substring_dedup.SQL),
     "op10_chat_format": (chat_format.query, chat_format.SQL),
 }
