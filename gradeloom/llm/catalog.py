@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, packing, quality_rules, substring_dedup
+from . import chat_format, decontaminate, license_scan, packing, quality_rules, substring_dedup, suffix_dedup
 
 QUERIES: dict = {
     "op1_packing": (packing.query, None),
+    "op2_suffix_dedup": (suffix_dedup.query, suffix_dedup.SQL),
     "op4_quality_rules": (quality_rules.query, None),
     "op6_license_scan": (license_scan.query, None),
     "op7_decontaminate": (decontaminate.query, decontaminate.SQL),

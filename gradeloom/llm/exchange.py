@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import text_blocks as tb
 
-#: Bytes of text for each bucket.
-BUCKET_BYTES = 6_000_000
+#: Bytes of text for each bucket, and of each block.
+BUCKET_BYTES, BLOCK_BYTES = 6_000_000, 32_000_000
 SENT = "bucket int, block long, body binary"
 
 
@@ -79,14 +79,26 @@ def pa_ints(ids: pa.Array) -> np.ndarray:
     return tb.span_hash(tb.byte_sums(buf), offsets[:-1], offsets[1:]).view(np.int64)
 
 
-def send(docs: DataFrame, fingerprints: Callable[[pa.Array, np.ndarray, np.ndarray], tuple[np.ndarray, ...]], n_buckets: int) -> DataFrame:
-    """Rows of `SENT`. `docs` has columns id and text first; `fingerprints(ids, bytes, offsets)` gives sorted distinct keys and arrays beside them."""
+def blocks_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """(documents, bytes, offsets, number) of blocks of about `limit` bytes of text; a longer text is a block of its own."""
+    for batch in batches:
+        _, sizes = tb.buffers(batch.column(1))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + limit, "right")) - 1)
+            part = batch.slice(i, j - i)
+            buf, offsets = tb.buffers(part.column(1))
+            yield part, buf, offsets, block_number(part.column(0), offsets)
+            i = j
+
+
+def send(docs: DataFrame, fingerprints: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], tuple[np.ndarray, ...]], n_buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of `SENT`. `docs` has columns id and text first; `fingerprints(documents, bytes, offsets)` gives sorted distinct keys and arrays beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = tb.buffers(batch.column(1))
+        for batch, buf, offsets, block in blocks_of(batches, block_bytes):
             arrays = fingerprints(batch, buf, offsets)
-            bounds, block = cut(arrays[0], n_buckets), block_number(batch.column(0), offsets)
+            bounds = cut(arrays[0], n_buckets)
             full = np.flatnonzero(np.diff(bounds))
             bodies = [encode(*(a[bounds[k] : bounds[k + 1]] for a in arrays)) for k in full]
             yield pa.RecordBatch.from_arrays(
@@ -96,6 +108,20 @@ def send(docs: DataFrame, fingerprints: Callable[[pa.Array, np.ndarray, np.ndarr
     return docs.mapInArrow(run, SENT)
 
 
+def packed_bits(mask: np.ndarray) -> np.ndarray:
+    """A mask as 64-bit words, to be sent as an answer to sorted keys."""
+    return np.packbits(np.concatenate([mask, np.zeros(-len(mask) % 64, bool)])).view(np.uint64)
+
+
+def answered(keys: np.ndarray, answers: dict[int, list[np.ndarray]], n_buckets: int) -> np.ndarray:
+    """Mask of a block's sorted keys, from the answers of `packed_bits`."""
+    out, bounds = np.zeros(len(keys), bool), cut(keys, n_buckets)
+    for k, arrays in answers.items():
+        lo, hi = bounds[k], bounds[k + 1]
+        out[lo:hi] = np.unpackbits(arrays[0].view(np.uint8), count=hi - lo)
+    return out
+
+
 def answer(sent: DataFrame, judge: Callable[[list[list[np.ndarray]]], list[tuple[np.ndarray, ...] | None]], n_buckets: int) -> DataFrame:
     """Rows (block, bucket, body) that `judge` gives back for the blocks of each bucket; none where it gives None or nothing."""
 
@@ -114,34 +140,34 @@ def answer(sent: DataFrame, judge: Callable[[list[list[np.ndarray]]], list[tuple
     return spread.groupBy("bucket").applyInArrow(run, "block long, bucket int, body binary")
 
 
-def packed_texts(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """One row for each block: block, body (its documents as a compressed Arrow stream). Columns: id, text, `extra`."""
+def packed_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each block: block, body (its documents as a compressed Arrow stream)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, offsets = tb.buffers(batch.column(1))
+        for batch, _, _, block in blocks_of(batches, block_bytes):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([block_number(batch.column(0), offsets)]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "body"])
 
     return docs.mapInArrow(run, "block long, body binary")
 
 
-def matched(docs: DataFrame, answers: DataFrame, finish: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, list[list[np.ndarray]]], pa.Table], schema: str) -> DataFrame:
-    """Documents and the answers to their block, together: `finish(batch, bytes, offsets, answers in the order of buckets)`."""
+def matched(
+    docs: DataFrame, answers: DataFrame, finish: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, dict[int, list[np.ndarray]]], pa.Table], schema: str,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Documents and the answers to their block, together: `finish(documents, bytes, offsets, answers by bucket)`."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             raise ValueError("rows came in another order when read again: write or checkpoint() the input first")
-        # The same documents may stand in two blocks, word for word; both get the same answers.
-        right = right.sort_by([("bucket", "ascending")])
-        answers_ = [decode(b) for b in right.column("body").to_pylist()]
+        # The same documents, word for word, may stand in two blocks; both get the same answers.
+        by_bucket = {k: decode(b) for k, b in zip(right.column("bucket").to_pylist(), right.column("body").to_pylist(), strict=True)}
         made = []
         for body in left.column("body").to_pylist():
-            batch = pa.ipc.open_stream(body).read_all().combine_chunks().to_batches()
-            if batch:
-                made.append(finish(batch[0], *tb.buffers(batch[0].column(1)), answers_))
+            batch = pa.ipc.open_stream(body).read_all().combine_chunks().to_batches()[0]
+            made.append(finish(batch, *tb.buffers(batch.column(1)), by_bucket))
         return pa.concat_tables(made)
 
-    return packed_texts(docs).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return packed_texts(docs, block_bytes).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

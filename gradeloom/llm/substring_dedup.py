@@ -75,7 +75,7 @@ def _sent_probes(width: int, n_buckets: int):
 
 
 def _anchors(blocks: list[list[np.ndarray]]):
-    """Of each block, the fingerprints that stand in two documents and at least once in the index."""
+    """For each block, which of its fingerprints stand in two documents and at least once in the index."""
     keys = np.concatenate([b[0] for b in blocks])
     flags = np.concatenate([b[1] for b in blocks])
     order = np.argsort(keys, kind="stable")
@@ -83,7 +83,7 @@ def _anchors(blocks: list[list[np.ndarray]]):
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     several = (np.diff(np.append(first, len(ranked))) > 1) | (np.maximum.reduceat(flags & np.uint64(2), first) > 0)
     hit = ranked[first][several & (np.bitwise_or.reduceat(flags, first) & np.uint64(1) > 0)]
-    return [(b[0][np.isin(b[0], hit, assume_unique=True)],) for b in blocks]
+    return [(ex.packed_bits(np.isin(b[0], hit, assume_unique=True)),) for b in blocks]
 
 
 def _sent_windows(window: int):
@@ -148,7 +148,7 @@ def _removed(window: int):
             least = np.empty(len(keys), np.int64)
             least[order] = own[order][np.flatnonzero(first)][np.cumsum(first) - 1]
             if answers:
-                there, ids_there = np.concatenate([a[0] for a in answers]), np.concatenate([a[1] for a in answers]).view(np.int64)
+                there, ids_there = np.concatenate([a[0] for a in answers.values()]), np.concatenate([a[1] for a in answers.values()]).view(np.int64)
                 order = np.lexsort([ids_there, there])
                 there, ids_there = there[order], ids_there[order]
                 if len(there):
@@ -197,9 +197,9 @@ def _marked(window: int, width: int, n_buckets: int):
 
     def run(batch, buf, offsets, answers):
         hashes, bounds = _hashes(buf, offsets)
-        hits = np.concatenate([a[0] for a in answers]) if answers else np.zeros(0, np.uint64)
         keys, at, _ = _probes(hashes, bounds, width, n_buckets)
-        found = at[np.isin(keys, hits)] if len(hits) else at[:0]
+        sent, place = np.unique(keys, return_inverse=True)
+        found = at[ex.answered(sent, answers, n_buckets)[place]]
         back = window - width
         starts = np.maximum(found - back, np.repeat(bounds[:-1], np.diff(bounds))[found])
         edge = np.zeros(len(hashes) + 1, np.int32)
