@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, near_dup, ngram_lm, packing, quality_rules, substring_dedup, suffix_dedup
+from . import chat_format, decontaminate, license_scan, near_dup, ngram_lm, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict = {
     "op1_packing": (packing.query, None),
     "op2_suffix_dedup": (suffix_dedup.query, suffix_dedup.SQL),
+    "op3_toxicity": (toxicity.query, None),
     "op4_quality_rules": (quality_rules.query, None),
     "op5_near_dup": (near_dup.query, near_dup.SQL),
     "op6_license_scan": (license_scan.query, None),
