@@ -55,14 +55,14 @@ def bucket_count(docs: DataFrame, text_col: str, bucket_bytes: int = BUCKET_BYTE
     return max(1, -(-total // bucket_bytes))
 
 
-def edges(n_buckets: int) -> np.ndarray:
-    """First fingerprint of each bucket but the first."""
-    return np.array([(k << 64) // n_buckets for k in range(1, n_buckets)], np.uint64)
+def edges(n_buckets: int, whole_bits: int = 0) -> np.ndarray:
+    """First fingerprint of each bucket but the first; keys that differ in the last `whole_bits` only are not parted."""
+    return np.array([((k << 64) // n_buckets) >> whole_bits << whole_bits for k in range(1, n_buckets)], np.uint64)
 
 
-def cut(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+def cut(keys: np.ndarray, n_buckets: int, whole_bits: int = 0) -> np.ndarray:
     """Bounds of the buckets in sorted keys."""
-    return np.concatenate([[0], np.searchsorted(keys, edges(n_buckets)), [len(keys)]]).astype(np.int64)
+    return np.concatenate([[0], np.searchsorted(keys, edges(n_buckets, whole_bits)), [len(keys)]]).astype(np.int64)
 
 
 def block_number(ids: pa.Array, offsets: np.ndarray) -> int:
