@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import text_blocks as tb
 
 #: Bytes of text for each bucket, and of each block.
-BUCKET_BYTES, BLOCK_BYTES = 6_000_000, 32_000_000
+BUCKET_BYTES, BLOCK_BYTES = 6_000_000, 12_000_000
 SENT = "bucket int, block long, body binary"
 
 
