@@ -1,28 +1,76 @@
-"""Documents to packed training sequences: five stages, each written as Parquet and read again."""
+"""Documents to packed training sequences: five stages, each written as Parquet and read again.
+
+1. Quality rules: documents that the base rules or the learned rules reject go.
+2. Near duplicates: of each class the document with the smallest id stays, once.
+3. Substrings: words of windows that an earlier document has go; a document left without words goes.
+4. Decontamination: documents that hold a window of the benchmark go.
+5. Packing: the rest becomes pieces of sequences.
+
+Documents without id are never duplicates of others and lose no words; they are judged like all
+others elsewhere. The stages read their input twice, so it must come from files, as it does here.
+"""
 
 from __future__ import annotations
 
-import uuid
+import os
+import sys
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from gradeloom.llm import decontaminate, near_dup, packing, quality_rules, substring_dedup  # noqa: E402
+from gradeloom.session import shared_dir  # noqa: E402
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.filter(quality_rules.PREFIX + "kept").select(docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    surplus = near_dup.classes(docs).filter("class_id <> doc_id").select("doc_id")
+    left = docs.filter("doc_id IS NOT NULL").join(surplus, "doc_id", "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    left = left.withColumn("_row", first).filter("_row = 1").select(docs.columns)
+    return left.union(docs.filter("doc_id IS NULL"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    rows = substring_dedup.dedup(docs, keep=[*rest, "n_chars"]).filter("n_words = 0 OR n_removed < n_words")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col(f"keep_{len(rest)}")).cast(docs.schema["n_chars"].dataType)
+    named = {c: F.col(f"keep_{k}") for k, c in enumerate(rest)} | {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": n_chars}
+    return rows.select([named[c].alias(c) for c in docs.columns])
 
-from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import packing
-from gradeloom.session import shared_dir
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hits = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit > 0")
+    hits = hits.select(F.col("doc_id").alias("_id"), "sig").distinct()
+    same = F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("sig")
+    return docs.join(hits, same & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.query(spark, sf_dir, docs)
+    return packing.pack(docs, packing.default_tokenizer()).withColumn("ids_crc32", F.crc32("ids"))
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", without_near_duplicates),
+    ("substring dedup", without_repeats),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
+#: The learned rules and the tokenizer have no SQL; tests/llm compares the stages with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark, f"pipeline-{uuid.uuid4().hex[:8]}")
-    for k, (name, stage) in enumerate(STAGES):
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -91,7 +91,7 @@ def hit_words(spans: Column) -> Column:
 
 
 def document_hits(matches: DataFrame) -> DataFrame:
-    """A row for each document: n_words, spans, n_hit, item_ids (sorted as strings)."""
+    """A row for each document: doc_id, sig (xxhash64 of the text), n_words, spans, n_hit, item_ids (sorted as strings)."""
     grouped = matches.groupBy("doc_id", "sig").agg(
         F.max("n_words").cast("long").alias("n_words"), F.sum("is_doc").alias("copies"),
         F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "length")))).alias("spans"),
@@ -99,7 +99,7 @@ def document_hits(matches: DataFrame) -> DataFrame:
     )
     item_ids = F.array_sort(F.array_distinct(F.col("items").cast("array<string>")))
     return grouped.select(
-        "doc_id", "n_words", "spans", hit_words(F.col("spans")).alias("n_hit"), item_ids.alias("item_ids"),
+        "doc_id", "sig", "n_words", "spans", hit_words(F.col("spans")).alias("n_hit"), item_ids.alias("item_ids"),
         F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
     ).drop("_copy")
 

@@ -158,6 +158,7 @@ def _removed(window: int):
         kept = [_kept_words(t, gone[lo:hi]) if gone[lo:hi].any() else t for t, lo, hi in zip(batch.column(1).to_pylist(), bounds[:-1], bounds[1:], strict=True)]
         return pa.table({
             "doc_id": batch.column(0).cast(pa.int64()), "n_words": pa.array(np.diff(bounds)), "n_removed": pa.array(tb.per_document(gone, bounds)), "kept": pa.array(kept, pa.string()),
+            **{name: batch.column(name) for name in batch.schema.names if name.startswith("keep_")},
         })
 
     return run
@@ -176,19 +177,22 @@ def joined_words(text: str | None) -> str:
     return " ".join(filter(None, (text or "").translate(_SPACES).split(" ")))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept: the text itself where nothing is removed, else the kept words with one blank between."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the text itself where nothing is removed, else the kept words with one blank
+    between), and the columns `keep` of the document as `keep_0` and so on."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    extra = {f"keep_{k}": c for k, c in enumerate(keep or [])}
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for k, c in extra.items()))
+    more = "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in extra)
     width, n = (window + 1) // 2, ex.bucket_count(docs, "text")
-    folder = shared_dir(spark, "anchored-texts")
-    probes = ex.answer(ex.send(docs, _sent_probes(width, n), n), _anchors, n)
-    ex.matched(docs, probes, _marked(window, width, n), "doc_id long, text string, marks binary, n_words long, open boolean").write.option("compression", "zstd").partitionBy("open").parquet(folder)
-    read = spark.read.schema("doc_id long, text string, marks binary, n_words long, open boolean").parquet(folder)
-    anchored = read.filter("open").select("doc_id", "text", "marks")
-    least = ex.answer(ex.send(anchored, _sent_windows(window), n), _smallest, n)
-    later = ex.matched(anchored, least, _removed(window), RESULT)
-    done = read.filter("NOT open").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"))
+    folder, schema = shared_dir(spark, "anchored-texts"), f"doc_id long, text string, marks binary, n_words long, open boolean{more}"
+    probes = ex.answer(ex.send(docs.select("doc_id", "text"), _sent_probes(width, n), n), _anchors, n)
+    ex.matched(docs, probes, _marked(window, width, n), schema).write.option("compression", "zstd").partitionBy("open").parquet(folder)
+    read = spark.read.schema(schema).parquet(folder)
+    anchored = read.filter("open").select("doc_id", "text", "marks", *extra)
+    least = ex.answer(ex.send(anchored.select("doc_id", "text", "marks"), _sent_windows(window), n), _smallest, n)
+    later = ex.matched(anchored, least, _removed(window), RESULT + more)
+    done = read.filter("NOT open").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"), *extra)
     return later.unionByName(done)
 
 
@@ -210,6 +214,7 @@ def _marked(window: int, width: int, n_buckets: int):
         marks = [np.packbits(bits[lo:hi]).tobytes() if s else b"" for s, lo, hi in zip(some, bounds[:-1], bounds[1:], strict=True)]
         return pa.table({
             "doc_id": batch.column(0).cast(pa.int64()), "text": batch.column(1).cast(pa.string()), "marks": pa.array(marks, pa.binary()), "n_words": pa.array(np.diff(bounds)), "open": pa.array(some),
+            **{name: batch.column(name) for name in batch.schema.names if name.startswith("keep_")},
         })
 
     return run
