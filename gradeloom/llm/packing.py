@@ -21,14 +21,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from . import text_blocks as tb
+from .exchange import blocks_of
+
 CAPACITY = 4096
 BLOCK_SEQUENCES = 512
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Cost of a token, and of a pair of tokens in one piece.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-#: Words whose ids a worker remembers; then it starts anew.
-REMEMBERED_WORDS = 600_000
+#: Pieces of words whose ids a worker remembers; then it starts anew.
+REMEMBERED_PIECES = 2_000_000
+BLOCK_BYTES = 8_000_000
 
 SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, sequence_cost double"
 
@@ -36,36 +40,96 @@ SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, seq
 class WordTokenizer:
     """Ids of whole texts, by way of the ids of their words.
 
-    The tokenizer drops white space and never joins characters across it, so a text's ids are
-    those of its words in order; each distinct word is encoded once. Texts with the separators
-    \\x1c-\\x1f, which str.split() takes for white space and the tokenizer does not, are encoded whole.
+    The tokenizer drops white space and never joins characters across it, so a text's ids are those of
+    its words in order. Nor does it join letters with the marks behind them, and it lower-cases A-Z: so
+    a word is cut into stem and marks. Each distinct piece is encoded once in a worker; the others are
+    found by their 64-bit hashes, and the ids of a block of texts are gathered in one step.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [None if not _SEPARATORS.isdisjoint(t) else t.split() for t in texts]
-        known = self.known
-        missing = list({w for words in split if words for w in words}.difference(known))
-        if len(known) + len(missing) > REMEMBERED_WORDS:
-            known.clear()
-            missing = list({w for words in split if words for w in words})
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            known.update(zip(part, self._encode(part), strict=True))
-        return [self._encode([t])[0] if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
-
-
-_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
-_tokenizers: dict[str, WordTokenizer] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool: list[np.ndarray] = []
+        self.pooled = 0
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after the other, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+    def _encode_stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many stems of plain letters in one call: the last token of a stem tells where the next begins."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.is_last[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(stems) else self._encode(stems)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        plain = np.array([p.isalpha() for p in pieces], bool)
+        order, made = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]), []
+        for places, encode in ((order[: plain.sum()], self._encode_stems), (order[plain.sum() :], self._encode)):
+            for i in range(0, len(places), 2048):
+                made.append(encode([pieces[k] for k in places[i : i + 2048].tolist()]))
+        hashes, size = hashes[order], np.concatenate([m[1] for m in made])
+        first = self.pooled + np.concatenate([[0], np.cumsum(size[:-1])])
+        self.pool = [np.concatenate([*self.pool, *(m[0] for m in made)])]
+        self.pooled += int(size.sum())
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known)
+        self.known = known[order]
+        self.first, self.size = np.concatenate([self.first, first])[order], np.concatenate([self.size, size])[order]
+
+    def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin (one more at the end)."""
+        low, parts = tb.LOWER[buf], []
+        for i, _, b, o in tb.chunks(buf, offsets):
+            starts, ends, bounds = tb.word_spans(b, o, tb.PLAIN_WORD)
+            part = low[offsets[i] : offsets[i] + len(b)]
+            # Names of special tokens count as written: words with a < keep their capitals.
+            angle = np.concatenate([[0], np.cumsum(b == 0x3C)])
+            for k in np.flatnonzero(angle[ends] > angle[starts]):
+                part[starts[k] : ends[k]] = b[starts[k] : ends[k]]
+            stem = ends.copy()
+            for _ in range(3):
+                stem -= (stem > starts) & _MARKS[part[np.maximum(stem - 1, 0)]]
+            last, before = part[np.maximum(stem - 1, 0)], part[np.maximum(stem - 2, 0)]
+            letter = ((last >= 0x61) & (last <= 0x7A)) | ((stem - starts > 1) & (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+            cut = (stem > starts) & (stem < ends) & letter
+            stem = np.where(cut, stem, ends)
+            at = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(cut)])[: len(starts)]
+            s, e = np.empty(len(starts) + int(cut.sum()), np.int64), np.empty(len(starts) + int(cut.sum()), np.int64)
+            s[at], e[at], s[at[cut] + 1], e[at[cut] + 1] = starts, stem, stem[cut], ends[cut]
+            pieces_before = np.append(at, len(s))[bounds]
+            parts.append((tb.span_hash(tb.byte_sums(part), s, e), s + offsets[i], e + offsets[i], np.diff(pieces_before)))
+        hashes, s, e, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) + len(distinct) > REMEMBERED_PIECES:
+            self._forget()
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        if len(self.known):
+            new = self.known[np.minimum(at, len(self.known) - 1)] != distinct
+        if new.any():
+            whole = low.tobytes()
+            self._learn(distinct[new], [whole[i:j].decode() for i, j in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.known, distinct)
+        if not len(distinct):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        size, begin = self.size[at][place], self.first[at][place]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[0][np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
+        return ids, upto[np.concatenate([[0], np.cumsum(counts)])]
+
+
+#: Marks that may stand behind a stem; no apostrophe, which the tokenizer joins with letters.
+_MARKS = np.isin(np.arange(256), [ord(c) for c in ".,;:!?|"])
 
 
 def _tokenizer(path: str) -> WordTokenizer:
@@ -73,9 +137,10 @@ def _tokenizer(path: str) -> WordTokenizer:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    held = tb.worker_state().setdefault("tokenizers", {})
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
 
 
 def assign(lengths: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC):
@@ -158,18 +223,17 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: i
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     id_type = None
-    for batch in batches:
+    for batch, buf, offsets, _ in blocks_of(batches, BLOCK_BYTES):
         id_type = batch.schema.field(0).type
-        for i in range(0, batch.num_rows, 512):
-            part = batch.slice(i, 512)
-            doc_ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-            for doc_id, ids in zip(doc_ids, tokenizer.ids(texts), strict=True):
-                held.append((doc_id, 0, ids + end, len(ids) // 4 + 1))
-                tokens += len(ids) // 4 + 1
-                if tokens >= block_sequences * capacity:
-                    if rows := emit(held, False):
-                        yield batch_of(rows)
-                    tokens = sum(len(x[2]) // 4 for x in held)
+        ids, begin = tokenizer.ids(buf, offsets)
+        whole, begin = ids.astype("<u4", copy=False).tobytes(), (4 * begin).tolist()
+        for doc_id, i, j in zip(batch.column(0).to_pylist(), begin[:-1], begin[1:], strict=True):
+            held.append((doc_id, 0, whole[i:j] + end, (j - i) // 4 + 1))
+            tokens += (j - i) // 4 + 1
+            if tokens >= block_sequences * capacity:
+                if rows := emit(held, False):
+                    yield batch_of(rows)
+                tokens = sum(len(x[2]) // 4 for x in held)
     if held:
         yield batch_of(emit(held, True))
 

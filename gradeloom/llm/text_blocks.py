@@ -6,6 +6,8 @@ document is cut out of the batch by `offsets`; nothing ever spans two documents.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +26,18 @@ LOWER = np.where((_ALL >= 0x41) & (_ALL <= 0x5A), _ALL + 32, _ALL).astype(np.uin
 
 _BYTE_BASE, _ITEM_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def worker_state() -> dict:
+    """A dictionary that lives as long as the process. Functions reach workers by value, with new globals for each
+    task; what should outlast a task, or stay out of what is sent, is kept here."""
+    return sys.modules.setdefault("gradeloom_worker_state", types.ModuleType("gradeloom_worker_state")).__dict__
 
 
 def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n or more."""
-    have = _powers.get(base)
+    held = worker_state().setdefault("powers", {})
+    have = held.get(base)
     if have is None or len(have[0]) < n:
         size = max(n, CHUNK_BYTES + 1)
         made = []
@@ -39,7 +47,7 @@ def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             made.append(np.cumprod(steps))
         have = (made[0], made[1])
         if size <= CHUNK_BYTES + 1:  # tables for a single huge text are not kept
-            _powers[base] = have
+            held[base] = have
     return have
 
 
