@@ -94,8 +94,9 @@ def priced(calls: DataFrame, mode: str = "longest", table: list | None = None) -
 
 
 def cost_totals(calls: DataFrame, by=("role", "model_id")) -> DataFrame:
-    """Cost per role and model with subtotals (a NULL key marks a total row). Calls are summed
-    per full key first, so the rollup expands only those few rows."""
+    """Cost per role and model with subtotals. `level` tells them from keys that are NULL: 0 for a
+    full key, 1 for the total of a role, 3 for all. Calls are summed per full key first, so the
+    rollup expands only those few rows."""
     cost = F.col("estimated_cost_usd").cast("decimal(20,12)")
     return (
         calls.groupBy(*by)
@@ -104,5 +105,6 @@ def cost_totals(calls: DataFrame, by=("role", "model_id")) -> DataFrame:
         .agg(
             half_up_wide(F.sum("_cost").cast("double"), 4).alias("total_cost"),
             F.sum("_n").cast("bigint").alias("num_calls"),
+            F.grouping_id().cast("bigint").alias("level"),
         )
     )

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import fixed_values as fv, text
 from ..functions.numeric import half_up, one_decimal, whole_percent
-from .apply import _apply, with_retry
+from .apply import with_retry
 from .scoring import weakest_criteria
-from .spread import smallest_n
+from .spread import null_safe_join, numbered, smallest_n
 
 FIELDS = ("priority", "category", "title", "description", "prompt_suggestion")
 # Rules apply in this order; it breaks ties between equal priorities.
@@ -148,17 +151,17 @@ def weak_areas_or_default(criteria: DataFrame, by=("run_id",), order=("test_seq"
 IMPROVEMENT_PROMPT = """You are a system prompt engineer. Your job is to improve an AI assistant's system prompt based on evaluation results.
 
 ## Current System Prompt
-{current}
+{current_prompt}
 
 ## Evaluation Results
-Overall Score: {score}%
+Overall Score: {overall_score}%
 Grade: {grade}
 
 ## Weak Areas (criteria that scored below 70%)
-{weak}
+{weak_areas}
 
 ## Recommendations
-{recs}
+{recommendations}
 
 ## Your Task
 Generate an IMPROVED version of the system prompt that addresses the weak areas.
@@ -176,53 +179,90 @@ Return ONLY the improved system prompt text. No explanation, no markdown fences,
 """
 
 
-def improvement_inputs(runs: DataFrame, weak: DataFrame, recs: DataFrame, by=("run_id",),
-                       order=("test_seq", "criterion_seq"), max_chars: int = 1_000_000) -> DataFrame:
-    """One prompt per run for the improving model.
+# The second call, which lists what changed.
+SUMMARY_PROMPT = """Compare these two system prompts and list the key changes in 3-5 bullet points.
 
-    A prompt is one string, so the weak lines of a run are joined only where their total
-    length, measured first, stays within `max_chars`; beyond that `too_long` is set, the
-    prompt is NULL and the lines remain whole in `weak_areas`.
-    """
-    keys = list(by)
-    size = weak.groupBy(*keys).agg(F.sum(F.length("line").cast("bigint") + 1).alias("_chars"))
-    fits = F.coalesce("_chars", F.lit(0)) <= max_chars
-    lines = (
-        weak.join(size.filter(fits).select(*keys), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(*order, "line"))).alias("_l"))
-        .select(*keys, F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("_weak"))
+ORIGINAL (first 2000 chars):
+{original}
+
+IMPROVED (first 2000 chars):
+{improved}
+
+Return only bullet points, no introduction."""
+
+
+def prompt_frame() -> tuple[str, str, str]:
+    """The text before the weak areas, between them and the recommendations, and after those."""
+    header, rest = IMPROVEMENT_PROMPT.split("{weak_areas}")
+    return (header, *rest.split("{recommendations}"))
+
+
+def improvement_parts(runs: DataFrame, weak: DataFrame, recs: DataFrame, by=("run_id",), order=("test_seq", "criterion_seq")) -> DataFrame:
+    """The prompt of the improving model as ordered rows, for runs of any size: keys, section (0 header,
+    1 weak areas, 2 middle, 3 recommendations, 4 closing), part_no and text; the rows of sections 1 and
+    3 are lines. original_prompt, original_score and original_grade stand in the header's row."""
+    keys, (header, middle, closing) = list(by), prompt_frame()
+    part = lambda section, number, line: (F.lit(section).alias("section"), number.cast("bigint").alias("part_no"), line.alias("text"))
+    one = F.lit(1)
+    first = text.fill(header, current_prompt=F.substring(F.coalesce("system_prompt", F.lit("")), 1, fv.JUDGE_CONTEXT_CHARS), overall_score=one_decimal("overall_pct"), grade=F.col("grade"))
+    frame = runs.select(
+        *keys, F.col("system_prompt").alias("original_prompt"), F.col("overall_pct").alias("original_score"), F.col("grade").alias("original_grade"), *part(0, one, first)
     )
+    lines = numbered(weak.select(*keys, *order, "line"), keys, list(order), "_no").select(*keys, *part(1, F.col("_no"), F.col("line")))
     rec_line = F.concat(F.lit("- ["), "priority", F.lit("] "), "title", F.lit(": "), "prompt_suggestion")
-    top = (
-        top_recommendations(recs, fv.IMPROVER_RECOMMENDATIONS, by)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("rank", rec_line.alias("line")))).alias("_r"))
-        .select(*keys, F.array_join(F.transform("_r", lambda x: x["line"]), "\n").alias("_recs"))
-    )
-    prompt = text.fill(
-        IMPROVEMENT_PROMPT,
-        current=F.substring("system_prompt", 1, fv.JUDGE_CONTEXT_CHARS), score=one_decimal("overall_pct"),
-        grade=F.col("grade"), weak=F.coalesce("_weak", F.lit(fv.NO_WEAK_AREAS)),
-        recs=F.coalesce("_recs", F.lit(fv.NO_RECOMMENDATIONS)),
-    )
-    return (
-        runs.join(size, keys, "left").join(lines, keys, "left").join(top, keys, "left")
-        .withColumn("too_long", ~fits)
-        .select(
-            *keys, F.col("overall_pct").alias("original_score"), F.col("grade").alias("original_grade"),
-            "too_long", F.when(fits, prompt).alias("prompt"),
-        )
-    )
+    top = top_recommendations(recs, fv.IMPROVER_RECOMMENDATIONS, by).select(*keys, *part(3, F.col("rank"), rec_line))
+    fixed = [runs.select(*keys, *part(section, one, F.lit(value))) for section, value in ((2, middle), (4, closing))]
+    for section, rows, value in ((1, weak, fv.NO_WEAK_AREAS), (3, recs, fv.NO_RECOMMENDATIONS)):
+        without = null_safe_join(runs.select(*keys), rows.select(*keys).distinct(), keys, "left_anti")
+        fixed.append(without.select(*keys, *part(section, one, F.lit(value))))
+    out = frame
+    for rows in (lines, top, *fixed):
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
-def improve_prompts(inputs: DataFrame, improver: Callable, by=("run_id",), partitions: int | None = None) -> DataFrame:
-    """Improved prompt of each run from `improver(prompt)`; keeps score and grade of the run."""
-    schema = T.StructType([T.StructField("improved_prompt", T.StringType()), T.StructField("error", T.StringType())])
-    keys = (*by, "original_score", "original_grade")
+def areas_addressed(weak: DataFrame, by=("run_id",)) -> DataFrame:
+    """The criteria an improved prompt is to address, as rows."""
+    return weak.select(*by, "test_id", F.col("criterion").alias("area"))
 
-    def call(prompt):
-        got, _, error = with_retry(improver, prompt)
-        return got, error
 
-    return _apply(inputs.filter(F.col("prompt").isNotNull()), call, keys, ("prompt",), schema, partitions)
+def improve_prompts(parts: DataFrame, improver: Callable, summarizer: Callable | None = None, by=("run_id",), partitions: int | None = None,
+                    sleep: Callable = time.sleep) -> DataFrame:
+    """Improved prompt of each run from `improver(prompt)` and, where given, the change summary from
+    `summarizer(prompt)`; keeps score and grade of the run.
+
+    Parts reach their task sorted, and one run's prompt at a time is put together there.
+    """
+    keys = list(by)
+    kinds = {f.name: f.dataType for f in parts.schema.fields}
+    fields = [*keys, "original_score", "original_grade"]
+    schema = T.StructType([T.StructField(f, kinds[f]) for f in fields] + [T.StructField(f, T.StringType()) for f in ("improved_prompt", "changes_summary", "error")])
+    spread = parts.repartition(partitions, *keys) if partitions else parts.repartition(*keys)
+    rows = spread.sortWithinPartitions(*keys, "section", "part_no").select(*fields, "original_prompt", "section", "text")
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def finished(head, lines):
+        pieces = [first if section in (0, 2, 4) else "\n".join([first, *rest]) for section, (first, *rest) in lines.items()]
+        got, _, error = with_retry(improver, "".join(pieces), sleep=sleep)
+        summary = None
+        if error is None and summarizer is not None:
+            summary, _, error = with_retry(summarizer, SUMMARY_PROMPT.format(original=(head[-1] or "")[:2000], improved=(got or "")[:2000]), sleep=sleep)
+        return (*head[:-1], got, summary, error)
+
+    def batch_of(row):
+        return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(row, types, strict=True)], names=schema.names)
+
+    def run(batches):
+        head, lines = None, {}
+        for batch in batches:
+            for *values, section, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if section == 0 and head is not None:
+                    yield batch_of(finished(head, lines))
+                    lines = {}
+                if section == 0:
+                    head = values
+                lines.setdefault(section, []).append(line or "")
+        if head is not None:
+            yield batch_of(finished(head, lines))
+
+    return rows.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv, text
 from ..functions.numeric import exact_avg, half_up, percent
-from .spread import smallest_n
+from .spread import numbered, smallest_n
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TURN_SEPARATOR = "\n---\n"
@@ -28,6 +28,17 @@ def conversation_pairs(cases: DataFrame) -> DataFrame:
     })
 
 
+def case_parts(turns: DataFrame, by: list[str]) -> DataFrame:
+    """Input and output of multi-turn cases as ordered rows (keys, side, part_no, text), for cases of any
+    length: user turns are the input, assistant turns the output, unless the case has a single-turn `input`.
+    `turns` has the keys, turn (a number), role, content and input."""
+    single = turns.filter(F.coalesce("input", F.lit("")) != "").select(*by, F.lit("input").alias("side"), F.lit(1).cast("bigint").alias("part_no"), F.col("input").alias("text"))
+    side = F.when(F.col("role") == "user", "input").when(F.col("role") == "assistant", "output")
+    said = turns.filter(F.coalesce("input", F.lit("")) == "").select(*by, "turn", side.alias("side"), F.coalesce("content", F.lit("")).alias("text")).filter("side IS NOT NULL")
+    parts = numbered(said, [*by, "side"], ["turn", "text"], "part_no")
+    return single.distinct().unionByName(parts.select(*by, "side", "part_no", "text"))
+
+
 def classify_attack_error(error: str | Column = "error") -> Column:
     """Known causes in plain words, any other error as it is."""
     error = F.col(error) if isinstance(error, str) else error

@@ -18,6 +18,15 @@ def _ranged(seq: str, width: int) -> Column:
     return F.floor(F.col(seq) / F.lit(width))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equality join in which NULL keys meet each other; the keys come from the left side."""
+    right = right.withColumnsRenamed({k: f"_{k}_right" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}_right"))
+    return left.join(right, same, how).drop(*(f"_{k}_right" for k in keys))
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, width: int = RANGE_WIDTH) -> DataFrame:
     """1-based position of each row in its group. `order[0]` must be numeric; it sets the range."""
     df = df.withColumn(RANGE, _ranged(order[0], width))
@@ -30,8 +39,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, width:
         .drop("_n")
     )
     return (
-        df.withColumn("_local", F.row_number().over(local))
-        .join(starts, [*keys, RANGE])
+        null_safe_join(df.withColumn("_local", F.row_number().over(local)), starts, [*keys, RANGE])
         .withColumn(name, (F.col("_start") + F.col("_local")).cast("bigint"))
         .drop(RANGE, "_local", "_start")
     )
@@ -49,8 +57,7 @@ def with_previous(df: DataFrame, keys: list[str], seq: str, name: str, width: in
         .drop("_last")
     )
     return (
-        ids.withColumn("_lag", F.lag(seq).over(inside))
-        .join(ends, [*keys, RANGE])
+        null_safe_join(ids.withColumn("_lag", F.lag(seq).over(inside)), ends, [*keys, RANGE])
         .select(*keys, seq, F.coalesce("_lag", "_before").alias(name))
     )
 
@@ -69,8 +76,7 @@ def with_latest_set(
         .drop("_last")
     )
     return (
-        ids.withColumn("_here", F.max("_set").over(inside))
-        .join(ends, [*keys, RANGE])
+        null_safe_join(ids.withColumn("_here", F.max("_set").over(inside)), ends, [*keys, RANGE])
         .select(*keys, seq, F.coalesce("_here", "_before").alias(name))
     )
 

@@ -37,3 +37,7 @@ def safety_judge(metric: str, question: str, response: str) -> tuple[float, str]
 
 def improver(prompt: str) -> str:
     return f"Improved from {len(prompt)} characters"
+
+
+def summarizer(prompt: str) -> str:
+    return f"Changes in {len(prompt)} characters"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text
-from .spread import with_latest_set, with_previous
+from .spread import null_safe_join, with_latest_set, with_previous
 
 TEXTS = {"prompt_text": "prompt_hash", "test_cases": "test_hash", "context_text": "context_hash"}
 LENGTHS = {"prompt_text": "prompt_len", "test_cases": "test_len", "context_text": "context_len"}
@@ -50,7 +50,7 @@ def version_line_diff(versions: DataFrame) -> DataFrame:
     links = previous_version(versions).filter(F.col("previous_id").isNotNull())
     new = versions.select("role_slug", "id", F.col("prompt_text").alias("_new"))
     old = versions.select("role_slug", F.col("id").alias("previous_id"), F.col("prompt_text").alias("_old"))
-    pairs = new.join(links, ["role_slug", "id"]).join(old, ["role_slug", "previous_id"])
+    pairs = null_safe_join(null_safe_join(new, links, ["role_slug", "id"]), old, ["role_slug", "previous_id"])
 
     def lines(c):
         return F.split(F.coalesce(c, F.lit("")), "\n")
@@ -77,8 +77,8 @@ def carried_forward(versions: DataFrame, column: str) -> DataFrame:
     given = F.coalesce(F.col(column), F.lit("")) != ""
     source = with_latest_set(versions, ["role_slug"], "id", given, "_from")
     texts = versions.select("role_slug", F.col("id").alias("_from"), F.col(column).alias("_text"))
-    kept = source.join(texts, ["role_slug", "_from"], "left").select("role_slug", "id", F.col("_text").alias(column))
-    return versions.drop(column).join(kept, ["role_slug", "id"])
+    kept = null_safe_join(source, texts, ["role_slug", "_from"], "left").select("role_slug", "id", F.col("_text").alias(column))
+    return null_safe_join(versions.drop(column), kept, ["role_slug", "id"])
 
 
 def restore_version(versions: DataFrame, chosen: DataFrame, timestamp=None) -> DataFrame:

@@ -206,10 +206,13 @@ def match_cost_first(spark, d):
 
 
 @query("cost_totals", with_tables("priced_longest") + f"""SELECT role, model_id,
-  CAST(round(CAST({sql_sum('estimated_cost_usd')} AS DECIMAL(32,9)), 4) AS DOUBLE) AS total_cost, count(*) AS num_calls
-  FROM priced_longest GROUP BY ROLLUP (role, model_id)""")
+  CAST(round(CAST({sql_sum('estimated_cost_usd')} AS DECIMAL(32,9)), 4) AS DOUBLE) AS total_cost, count(*) AS num_calls,
+  CAST(grouping(role, model_id) AS BIGINT) AS level FROM (SELECT * REPLACE (CASE WHEN test_id % 7 <> 0 THEN model_id END AS model_id) FROM priced_longest) p
+  GROUP BY ROLLUP (role, model_id)""")
 def cost_totals(spark, d):
-    return perf.cost_totals(perf.priced(b.calls(spark, d)))
+    """Every seventh call has no model in its log, which must not read as a subtotal."""
+    calls = perf.priced(b.calls(spark, d))
+    return perf.cost_totals(calls.withColumn("model_id", F.when(F.col("test_id") % 7 != 0, F.col("model_id"))))
 
 
 # --- repeats -------------------------------------------------------------------------
@@ -432,22 +435,31 @@ def improvement_inputs_of(spark, d):
     runs = scoring.run_scores(tests).withColumn(
         "system_prompt", F.concat(F.lit("Prompt of run "), F.col("run_id").cast("string")))
     weak = recommend.weak_areas(b.criteria(spark, d), order=WEAK_ORDER)
-    return recommend.improvement_inputs(runs, weak, _recommendations(spark, d), order=WEAK_ORDER)
+    return recommend.improvement_parts(runs, weak, _recommendations(spark, d), order=WEAK_ORDER)
 
 
-IMPROVEMENT_SQL = with_tables("category_scores", "run_scores") + f"""SELECT s.run_id, s.overall_pct AS original_score, s.grade AS original_grade,
-  {_sql_text(recommend.IMPROVEMENT_PROMPT, current="'Prompt of run ' || s.run_id", score="printf('%.1f', s.overall_pct)", grade='s.grade',
-             weak='coalesce(w.lines, ' + _quote(fv.NO_WEAK_AREAS) + ')', recs='coalesce(r.lines, ' + _quote(fv.NO_RECOMMENDATIONS) + ')')} AS prompt
-  FROM run_scores s LEFT JOIN (SELECT run_id, string_agg({SQL_WEAK_LINE}, chr(10) ORDER BY {', '.join(WEAK_ORDER)}) AS lines
-    FROM criteria WHERE score < 0.7 GROUP BY run_id) w ON w.run_id = s.run_id
-  LEFT JOIN (SELECT run_id, string_agg('- [' || priority || '] ' || title || ': ' || prompt_suggestion, chr(10) ORDER BY rank) AS lines FROM (
-    SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY priority_rank, stage, stage_order) AS rank FROM ({REC_ALL}) a) t
-    WHERE rank <= 8 GROUP BY run_id) r ON r.run_id = s.run_id"""
+_HEADER, _MIDDLE, _CLOSING = recommend.prompt_frame()
+IMPROVEMENT_LINES = f"""SELECT run_id, 1 AS section, row_number() OVER (PARTITION BY run_id ORDER BY {', '.join(WEAK_ORDER)}) AS part_no, {SQL_WEAK_LINE} AS text
+    FROM criteria WHERE score < 0.7
+  UNION ALL SELECT run_id, 1, 1, {_quote(fv.NO_WEAK_AREAS)} FROM criteria GROUP BY run_id HAVING count(*) FILTER (score < 0.7) = 0
+  UNION ALL SELECT run_id, 3, rank, '- [' || priority || '] ' || title || ': ' || prompt_suggestion FROM (
+    SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY priority_rank, stage, stage_order) AS rank FROM ({REC_ALL}) a) t WHERE rank <= 8
+  UNION ALL SELECT run_id, 3, 1, {_quote(fv.NO_RECOMMENDATIONS)} FROM run_scores WHERE run_id NOT IN (SELECT run_id FROM ({REC_ALL}) b)"""
+IMPROVEMENT_PARTS = f"""SELECT run_id, section, part_no, text FROM (
+  SELECT run_id, 0 AS section, 1 AS part_no,
+    {_sql_text(_HEADER, current_prompt="'Prompt of run ' || run_id", overall_score="printf('%.1f', overall_pct)", grade='grade')} AS text FROM run_scores
+  UNION ALL SELECT run_id, 2, 1, {_quote(_MIDDLE)} FROM run_scores UNION ALL SELECT run_id, 4, 1, {_quote(_CLOSING)} FROM run_scores
+  UNION ALL {IMPROVEMENT_LINES}) parts"""
 
 
-@query("improvement_input", IMPROVEMENT_SQL)
+@query("improvement_input", with_tables("category_scores", "run_scores") + IMPROVEMENT_PARTS)
 def improvement_input(spark, d):
-    return improvement_inputs_of(spark, d).select("run_id", "original_score", "original_grade", "prompt")
+    return improvement_inputs_of(spark, d).select("run_id", "section", "part_no", "text")
+
+
+@query("improvement_areas", with_tables("criteria") + "SELECT run_id, test_id, text AS area FROM criteria WHERE score < 0.7")
+def improvement_areas(spark, d):
+    return recommend.areas_addressed(recommend.weak_areas(b.criteria(spark, d), order=WEAK_ORDER)).select("run_id", "test_id", "area")
 
 
 # --- calibration ---------------------------------------------------------------------
@@ -553,31 +565,15 @@ def pick_attacks(spark, d):
     return redteam.pick_attacks(_prompts(spark, d))
 
 
-SEGMENT = 16  # turns of one case; turn numbers are unique in a conversation
-
-
-def conversation_cases(spark, d):
-    """Multi-turn cases: stretches of a conversation, so no case holds a whole long one."""
-    turns = b.table(spark, d, "conversations")
-    entry = F.struct("turn", "role", F.col("text").alias("content"))
-    return (turns.groupBy("conv_id", F.expr(f"turn div {SEGMENT}").alias("segment"))
-            .agg(F.sort_array(F.collect_list(entry)).alias("_t"))
-            .select("conv_id", "segment",
-                    F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("single input "), F.col("conv_id").cast("string"))).alias("input"),
-                    F.lit(None).cast("string").alias("output"),
-                    F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("turns")))
-
-
-def _sql_joined(role: str) -> str:
-    return f"coalesce(string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn) FILTER (role = '{role}'), '')"
-
-
-@query("conversation_pairs", f"""SELECT conv_id, turn // {SEGMENT} AS segment,
-  CASE WHEN conv_id % 5 = 0 THEN 'single input ' || conv_id ELSE {_sql_joined('user')} END AS input,
-  CASE WHEN conv_id % 5 = 0 THEN '' ELSE {_sql_joined('assistant')} END AS output
-  FROM conversations GROUP BY conv_id, turn // {SEGMENT}""")
+@query("conversation_pairs", """SELECT conv_id, side, part_no, text FROM (
+  SELECT conv_id, CASE role WHEN 'user' THEN 'input' ELSE 'output' END AS side, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS part_no,
+  coalesce(text, '') AS text FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 5 <> 0
+  UNION ALL SELECT DISTINCT conv_id, 'input', 1, 'single input ' || conv_id FROM conversations WHERE conv_id % 5 = 0) p""")
 def conversation_pairs(spark, d):
-    return redteam.conversation_pairs(conversation_cases(spark, d)).drop("turns")
+    """Whole conversations as cases; every fifth has a single-turn input instead."""
+    turns = b.table(spark, d, "conversations")
+    single = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("single input "), F.col("conv_id").cast("string")))
+    return redteam.case_parts(turns.withColumnRenamed("text", "content").withColumn("input", single), ["conv_id"])
 
 
 # --- report tables -------------------------------------------------------------------

@@ -10,7 +10,7 @@ from ..session import shared_dir
 from ..sources import tables
 from . import bindings as b
 from .bindings import sql_round, with_tables
-from .queries_scoring import IMPROVEMENT_SQL, improvement_inputs_of
+from .queries_scoring import IMPROVEMENT_PARTS, improvement_inputs_of
 
 QUERIES: dict = {}
 
@@ -526,7 +526,13 @@ def retry_worklist(spark, d):
     return apply.retry_worklist(b.calls(spark, d), keys=("run_id", "k"))
 
 
-@query("improve_prompts", f"""SELECT run_id, original_score, original_grade, 'Improved from ' || length(prompt) || ' characters' AS improved_prompt
-  FROM ({IMPROVEMENT_SQL}) i""")
+_FRAME = len(recommend.SUMMARY_PROMPT.format(original="", improved=""))
+
+
+@query("improve_prompts", with_tables("category_scores", "run_scores") + f"""SELECT run_id, original_score, original_grade, improved_prompt,
+  'Changes in ' || ({_FRAME} + length('Prompt of run ' || run_id) + length(improved_prompt)) || ' characters' AS changes_summary FROM (
+  SELECT s.run_id, s.overall_pct AS original_score, s.grade AS original_grade, 'Improved from ' || length(prompt) || ' characters' AS improved_prompt
+  FROM run_scores s JOIN (SELECT run_id, string_agg(s, '' ORDER BY section) AS prompt FROM (
+    SELECT run_id, section, string_agg(text, chr(10) ORDER BY part_no) AS s FROM ({IMPROVEMENT_PARTS}) l GROUP BY run_id, section) g GROUP BY run_id) p ON p.run_id = s.run_id) i""")
 def improve_prompts(spark, d):
-    return recommend.improve_prompts(improvement_inputs_of(spark, d), stubs.improver).drop("error")
+    return recommend.improve_prompts(improvement_inputs_of(spark, d), stubs.improver, stubs.summarizer).drop("error")

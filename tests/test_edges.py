@@ -243,13 +243,34 @@ def test_context_cut_is_exact_with_many_small_documents(spark):
     assert (info.total_chars, info.doc_count) == (len(whole), 3000)
 
 
-def test_improvement_input_too_long_is_marked_not_cut(spark):
-    weak = spark.createDataFrame([("r", 1, 0, "x" * 50), ("r", 2, 0, "y" * 50), ("s", 1, 0, "z")], "run_id string, test_seq long, criterion_seq int, line string")
-    runs = spark.createDataFrame([("r", 50.0, "D", "p"), ("s", 50.0, "D", "p"), ("t", 99.0, "A+", "p")], "run_id string, overall_pct double, grade string, system_prompt string")
+def test_improvement_prompt_of_a_run_of_any_size(spark):
+    weak = spark.range(50_000).selectExpr("'r' AS run_id", "id AS test_seq", "0 AS criterion_seq", "concat('- line ', id) AS line").unionByName(
+        spark.createDataFrame([("s", 1, 0, "- z")], "run_id string, test_seq long, criterion_seq int, line string"))
+    runs = spark.createDataFrame([("r", 50.0, "D", "p"), ("s", 50.0, "D", None), ("t", 99.0, "A+", "p")], "run_id string, overall_pct double, grade string, system_prompt string")
     recs = spark.createDataFrame([], "run_id string, priority_rank int, stage int, stage_order long, priority string, title string, prompt_suggestion string")
-    got = {r.run_id: r for r in recommend.improvement_inputs(runs, weak, recs, max_chars=60).collect()}
-    assert got["r"].too_long and got["r"].prompt is None
-    assert "\nz\n" in got["s"].prompt and "performing well" in got["t"].prompt
+    parts = recommend.improvement_parts(runs, weak, recs)
+    got = {r.run_id: r for r in recommend.improve_prompts(parts, lambda prompt: prompt, lambda prompt: prompt[-60:]).collect()}
+    assert "\n".join(f"- line {i}" for i in range(50_000)) in got["r"].improved_prompt
+    assert "performing well" in got["t"].improved_prompt and "No specific recommendations." in got["t"].improved_prompt
+    assert set(got) == {"r", "s", "t"} and got["t"].changes_summary.endswith("no introduction.")
+
+
+def test_case_parts_of_a_long_conversation(spark):
+    turns = spark.range(1000).selectExpr("1 AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS content", "CAST(NULL AS string) AS input")
+    rows = redteam.case_parts(turns, ["conv_id"]).orderBy("side", "part_no").collect()
+    assert [r.text for r in rows if r.side == "input"] == [f"t{i}" for i in range(0, 1000, 2)]
+    assert [r.part_no for r in rows if r.side == "output"] == list(range(1, 501))
+
+
+def test_null_keys_are_kept(spark):
+    from gradeloom.operators import perf, spread
+
+    rows = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), (1, None, "c"), (1, 5, "d"), (1, 9000, "e")], "k long, o long, text string")
+    assert spread.numbered(rows, ["k"], ["o"], "n").count() == 5
+    assert {(r.k, r.o): r.p for r in spread.with_previous(rows, ["k"], "o", "p").collect()}[(None, 2)] == 1
+    calls = spark.createDataFrame([("r", None, 0.75), ("r", "m", 0.25)], "role string, model_id string, estimated_cost_usd double")
+    got = {(r.role, r.model_id, r.level): r.total_cost for r in perf.cost_totals(calls).collect()}
+    assert got[("r", None, 0)] == 0.75 and got[("r", None, 1)] == 1.0 and got[(None, None, 3)] == 1.0
 
 
 def test_prompt_sources(spark):
