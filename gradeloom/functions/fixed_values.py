@@ -145,3 +145,11 @@ CSV_HEADERS = [
     "Notes",
 ]
 LATE_COLUMNS = ["judge_model", "dag_pct", "consolidated_pct", "consolidated_grade", "report_path"]
+
+# What is asked about each of the four dimensions of a criterion.
+DIMENSION_QUESTIONS = {
+    "Addressed": "Does the response address this criterion at all: '{criterion}'? Context: {domain} assistant.",
+    "Specificity": "Does the response provide specific details for: '{criterion}'? Examples: named services, version numbers, configuration values, concrete steps. Context: {domain} assistant.",
+    "Actionability": "Does the response give actionable guidance (how-to steps, commands, code, architecture decisions) for: '{criterion}'? Or is it just a vague recommendation? Context: {domain} assistant.",
+    "Accuracy": "Is the response technically correct and free of errors regarding: '{criterion}'? Context: {domain} assistant.",
+}

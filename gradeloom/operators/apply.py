@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -27,6 +28,7 @@ cloudpickle.register_pickle_by_value(gradeloom)
 
 CALL_KEY = ("run_id", "test_id")
 CRITERION_KEY = ("run_id", "test_id", "criterion_seq")
+CALLS_AT_ONCE = 8  # rows per thread that a task hands on together
 
 _RESPONSE = T.StructType([
     T.StructField("response", T.StringType()),
@@ -57,9 +59,10 @@ def with_retry(fn: Callable, *args, sleep: Callable = time.sleep):
             sleep(fv.FIRST_WAIT_SECONDS * 2 ** (attempt - 1))
 
 
-def _apply(df: DataFrame, call: Callable, keys, inputs, outputs: T.StructType, partitions: int | None) -> DataFrame:
-    """Keys plus the outputs of `call(*inputs)` per row. With `partitions`, rows are spread by
-    a hash of their key, which also bounds how many calls run at once."""
+def _apply(df: DataFrame, call: Callable, keys, inputs, outputs: T.StructType, partitions: int | None, concurrency: int = 1) -> DataFrame:
+    """Keys plus the outputs of `call(*inputs)` per row. With `partitions`, rows are spread by a
+    hash of their key. A task makes `concurrency` calls at the same time, each in a thread of its
+    own, and hands on a few rows at once."""
     df = df.select(*keys, *[c for c in inputs if c not in keys])
     if partitions:
         df = df.repartition(partitions, *keys)
@@ -68,16 +71,19 @@ def _apply(df: DataFrame, call: Callable, keys, inputs, outputs: T.StructType, p
     keys, inputs = list(keys), list(inputs)
 
     def run(batches):
-        for batch in batches:
-            rows = [call(*row) for row in zip(*(batch.column(c).to_pylist() for c in inputs))]
-            made = [pa.array([row[i] for row in rows], type=kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keys] + made, names=keys + names)
+        with ThreadPoolExecutor(concurrency) as pool:
+            for whole in batches:
+                for start in range(0, whole.num_rows, CALLS_AT_ONCE * concurrency):
+                    batch = whole.slice(start, CALLS_AT_ONCE * concurrency)
+                    rows = list(pool.map(lambda row: call(*row), zip(*(batch.column(c).to_pylist() for c in inputs))))
+                    made = [pa.array([row[i] for row in rows], type=kind) for i, kind in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([batch.column(k) for k in keys] + made, names=keys + names)
 
     return df.mapInArrow(run, T.StructType([df.schema[k] for k in keys] + list(outputs)))
 
 
 def generate_responses(work: DataFrame, responder: Callable, keys=CALL_KEY, partitions: int | None = None,
-                       sleep: Callable = time.sleep) -> DataFrame:
+                       sleep: Callable = time.sleep, concurrency: int = 1) -> DataFrame:
     """One call per test. `responder(system_prompt, question)` returns a dict with response,
     input_tokens, output_tokens, model_id and optionally latency_seconds.
 
@@ -93,7 +99,7 @@ def generate_responses(work: DataFrame, responder: Callable, keys=CALL_KEY, part
         return (got["response"], None, float(latency), got.get("input_tokens", 0), got.get("output_tokens", 0),
                 got.get("model_id", ""), attempts)
 
-    raw = _apply(work, call, keys, ("system_prompt", "question"), _RESPONSE, partitions)
+    raw = _apply(work, call, keys, ("system_prompt", "question"), _RESPONSE, partitions, concurrency)
     return with_call_metrics(raw)
 
 
@@ -109,7 +115,7 @@ def with_call_metrics(raw: DataFrame) -> DataFrame:
 
 
 def judge_criteria(work: DataFrame, judge: Callable, keys=CRITERION_KEY, partitions: int | None = None,
-                   sleep: Callable = time.sleep) -> DataFrame:
+                   sleep: Callable = time.sleep, concurrency: int = 1) -> DataFrame:
     """Graded score of each criterion. `judge(question, response, criterion, judge_prompt)`
     returns (score, reason). A criterion whose judge failed scores 0 and counts."""
 
@@ -117,7 +123,7 @@ def judge_criteria(work: DataFrame, judge: Callable, keys=CRITERION_KEY, partiti
         got, _, error = with_retry(judge, question, response, criterion, prompt, sleep=sleep)
         return (None, None, error) if error is not None else (float(got[0]), got[1], None)
 
-    raw = _apply(work, call, keys, ("question", "response", "criterion", "judge_prompt"), _VERDICT, partitions)
+    raw = _apply(work, call, keys, ("question", "response", "criterion", "judge_prompt"), _VERDICT, partitions, concurrency)
     failed = F.col("error").isNotNull()
     return raw.select(
         *keys,
@@ -129,23 +135,27 @@ def judge_criteria(work: DataFrame, judge: Callable, keys=CRITERION_KEY, partiti
 
 
 def judge_dimensions(work: DataFrame, judge: Callable, keys=CRITERION_KEY, partitions: int | None = None,
-                     sleep: Callable = time.sleep) -> DataFrame:
+                     sleep: Callable = time.sleep, concurrency: int = 1) -> DataFrame:
     """Four yes/no checks per criterion in one map, and the weighted dag score.
 
-    `judge(question, response, criterion, dimension)` returns a score, passed from 0.5. A
-    dimension whose judge failed counts as not passed.
+    `judge(question, response, criterion, dimension, asked)` returns a score, passed from 0.5;
+    `asked` is the dimension's question about the criterion, with the role's domain. A dimension
+    whose judge failed counts as not passed.
     """
     names = list(fv.DIMENSION_WEIGHTS)
     schema = T.StructType([T.StructField("_raw", T.ArrayType(T.DoubleType()))])
 
-    def call(question, response, criterion):
+    def call(question, response, criterion, domain):
         scores = []
         for name in names:
-            got, _, error = with_retry(judge, question, response, criterion, name, sleep=sleep)
+            asked = fv.DIMENSION_QUESTIONS[name].format(criterion=criterion, domain=domain or "")
+            got, _, error = with_retry(judge, question, response, criterion, name, asked, sleep=sleep)
             scores.append(None if error is not None else float(got))
         return (scores,)
 
-    raw = _apply(work, call, keys, ("question", "response", "criterion"), schema, partitions)
+    if "domain" not in work.columns:
+        work = work.withColumn("domain", F.lit(""))
+    raw = _apply(work, call, keys, ("question", "response", "criterion", "domain"), schema, partitions, concurrency)
     entries = []
     for i, name in enumerate(names):
         score = F.coalesce(F.col("_raw")[i], F.lit(0.0))
@@ -167,15 +177,18 @@ def safety_work(responses: DataFrame) -> DataFrame:
 
 
 def judge_safety(work: DataFrame, judge: Callable, keys=("run_id", "test_id", "metric"), partitions: int | None = None,
-                 sleep: Callable = time.sleep) -> DataFrame:
-    """`judge(metric, question, response)` returns (score, reason), 0 safe to 1 unsafe. Passed
-    is decided on the unrounded score; a failed check has no score and is not passed."""
-
-    def call(metric, question, response):
-        got, _, error = with_retry(judge, metric, question, response, sleep=sleep)
+                 sleep: Callable = time.sleep, concurrency: int = 1) -> DataFrame:
+    """`judge(metric, question, response, context)` returns (score, reason), 0 safe to 1 unsafe. The
+    context is that of the test for the hallucination check, and empty for the others. Passed is
+    decided on the unrounded score; a failed check has no score and is not passed."""
+    told = F.array_join("context", "\n") if "context" in work.columns else F.lit("")
+    work = work.withColumn("context_text", F.when(F.col("metric") == "hallucination", told).otherwise(F.lit("")))
+
+    def call(metric, question, response, context_text):
+        got, _, error = with_retry(judge, metric, question, response, context_text or "", sleep=sleep)
         return (None, None, error) if error is not None else (float(got[0]), got[1], None)
 
-    raw = _apply(work, call, keys, ("metric", "question", "response"), _VERDICT, partitions)
+    raw = _apply(work, call, keys, ("metric", "question", "response", "context_text"), _VERDICT, partitions, concurrency)
     return raw.select(
         *keys,
         half_up("score", 2).alias("score"),

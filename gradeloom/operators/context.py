@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv, text
 from ..functions.numeric import col
@@ -96,16 +96,26 @@ def context_info(roles: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _leading_text(docs: DataFrame, part: Column, shortest_part: int, limit: int) -> DataFrame:
-    """First `limit` characters of the parts of each role, joined in file name order.
+    """First `limit` characters of the parts of each role, joined in file name order; a name stands
+    once per role (see `distinct_docs`).
 
     Every part with its separator is at least `shortest_part` long, so only the first
-    limit / shortest_part documents can reach into the result, each with at most `limit`
-    characters. The rest is dropped before the shuffle without changing the result.
+    limit / shortest_part names can reach into the result. Names and lengths are ranked; those that
+    start before the limit then fetch their text by key, so a role with most of the documents does
+    not gather their texts.
     """
-    short = docs.select("role_slug", "file_name", F.substring(part, 1, limit).alias("_part"))
-    first = smallest_n(short, ["role_slug"], ["file_name"], limit // shortest_part + 1)
+    sizes = docs.select("role_slug", "file_name", F.length(part).alias("_chars"))
+    first = smallest_n(sizes, ["role_slug"], ["file_name"], limit // shortest_part + 1)
+    before = Window.partitionBy("role_slug").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    used = first.withColumn("_start", F.coalesce(F.sum(F.col("_chars") + len("\n\n")).over(before), F.lit(0))).filter(F.col("_start") < limit)
+    texts = docs.select("role_slug", "file_name", F.substring(part, 1, limit).alias("_part")).join(used.select("role_slug", "file_name"), ["role_slug", "file_name"])
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file_name", "_part"))), lambda x: x["_part"]), "\n\n")
-    return first.groupBy("role_slug").agg(F.substring(joined, 1, limit).alias("_text"))
+    return texts.groupBy("role_slug").agg(F.substring(joined, 1, limit).alias("_text"))
+
+
+def context_files(docs: DataFrame) -> DataFrame:
+    """The files behind each role's context: role, file name, length of its text."""
+    return docs.select("role_slug", "file_name", F.length("content").cast("bigint").alias("chars"))
 
 
 def judge_context(docs: DataFrame, limit: int = fv.JUDGE_CONTEXT_CHARS) -> DataFrame:

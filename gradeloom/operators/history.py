@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import schemas
 from ..functions import fixed_values as fv, labels, text
 from ..functions.numeric import one_decimal
 
 
+def whole_rows(rows: DataFrame, columns: str = schemas.EVAL_RUNS, key: str = "run_id") -> DataFrame:
+    """Rows with every column of the written table and no other but the key, which is the id. What a
+    run does not have is NULL. Readers and writers share this one list of columns."""
+    kinds = dict(column.split(" ") for column in columns.split(", "))
+    values = [F.col(c).cast(kind).alias(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items() if c != "id"]
+    return rows.select(*([F.col(key)] if key != "id" else []), F.col(key).alias("id"), *values)
+
+
 def history(runs: DataFrame, role: str | None = None, limit: int = 100) -> DataFrame:
     """Newest runs first."""
     if role:
         runs = runs.filter(F.col("role") == role)
-    return runs.orderBy(F.desc("id")).limit(limit)
+    return runs.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
 
 
 def run_by_id(runs: DataFrame, run_id) -> DataFrame:
@@ -20,7 +29,7 @@ def run_by_id(runs: DataFrame, run_id) -> DataFrame:
 
 
 def calibration_history(runs: DataFrame, limit: int = 20) -> DataFrame:
-    return runs.orderBy(F.desc("id")).limit(limit)
+    return runs.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
 
 
 def history_union(*tables: DataFrame) -> DataFrame:
@@ -102,7 +111,8 @@ def red_team_rows(overview: DataFrame, overall: DataFrame, by=("run_id",)) -> Da
     """Summary rows of red-team runs in the shape of evaluation runs."""
     keys = list(by)
     rates = overview.groupBy(*keys).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("vulnerability", "pass_rate")))).alias("category_scores")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(
+            "vulnerability", F.struct("pass_rate", "total", "passed", "failed", "errored"))))).alias("category_scores")
     )
     return overall.join(rates, keys, "left").select(
         *keys, F.lit("red_team").alias("run_type"), F.lit("Red Team Assessment").alias("prompt_name"),

@@ -23,16 +23,16 @@ def judge(question: str, response: str, criterion: str, prompt: str) -> tuple[fl
     return (len(response) + 7 * len(criterion)) % 101 / 100, f"Read {len(response)} characters"
 
 
-def dimension_judge(question: str, response: str, criterion: str, dimension: str) -> float:
+def dimension_judge(question: str, response: str, criterion: str, dimension: str, asked: str) -> float:
     if dimension == "Accuracy" and len(response) % 11 == 0:
         raise ValueError("judge gave no answer")
-    return 1.0 if (len(response) + len(dimension)) % 3 else 0.0
+    return 1.0 if (len(response) + len(asked)) % 3 else 0.0
 
 
-def safety_judge(metric: str, question: str, response: str) -> tuple[float, str]:
+def safety_judge(metric: str, question: str, response: str, context: str) -> tuple[float, str]:
     if (len(response) + len(metric)) % 23 == 0:
         raise ValueError("judge gave no answer")
-    return (len(response) * 3 + len(metric)) % 1000 / 1000, ""
+    return (len(response) * 3 + len(metric) + len(context)) % 1000 / 1000, ""
 
 
 def improver(prompt: str) -> str:

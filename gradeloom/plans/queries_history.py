@@ -37,7 +37,7 @@ def run_columns(runs):
 
 # --- reading history -----------------------------------------------------------------
 
-@query("history", with_tables("runs") + f"SELECT {RUN_COLUMNS} FROM runs WHERE role = '2-HIGH' ORDER BY id DESC LIMIT 100")
+@query("history", with_tables("runs") + f"SELECT {RUN_COLUMNS} FROM runs WHERE role = '2-HIGH' ORDER BY runs.timestamp DESC, id DESC LIMIT 100")
 def history_newest(spark, d):
     return run_columns(history.history(b.eval_runs(spark, d), "2-HIGH"))
 
@@ -47,7 +47,7 @@ def run_by_id(spark, d):
     return run_columns(history.run_by_id(b.eval_runs(spark, d), 1234))
 
 
-@query("calibration_history", with_tables("runs") + f"SELECT id, {SQL_TIME}, judge_model, overall_pct AS accuracy FROM runs ORDER BY id DESC LIMIT 20")
+@query("calibration_history", with_tables("runs") + f"SELECT id, {SQL_TIME}, judge_model, overall_pct AS accuracy FROM runs ORDER BY runs.timestamp DESC, id DESC LIMIT 20")
 def calibration_history(spark, d):
     rows = b.eval_runs(spark, d).select("id", "timestamp", "judge_model", F.col("overall_pct").alias("accuracy"))
     return history.calibration_history(rows).withColumn("timestamp", time_text())
@@ -119,9 +119,10 @@ def append_eval_run(spark, d):
 @query("append_red_team_run", with_tables("red_team") + f"""SELECT run_id, 'red_team' AS run_type, 'Red Team Assessment' AS prompt_name, rate AS overall_pct,
   {sql_verdict('rate')} AS grade, attacks AS num_tests, 0 AS num_criteria, category_scores, 'Pass rate: ' || printf('%.1f', rate) || '% | ' || attacks || ' attacks' AS notes FROM (
   SELECT run_id, coalesce({b.sql_round(b.sql_avg('CASE WHEN pass_rate >= 0 THEN pass_rate END'), 1)}, 0.0) AS rate, CAST(sum(total) AS BIGINT) AS attacks,
-  '{{' || string_agg('"' || vulnerability || '":' || printf('%.1f', pass_rate), ',' ORDER BY vulnerability) || '}}' AS category_scores FROM (
+  '{{' || string_agg('"' || vulnerability || '":{{"pass_rate":' || printf('%.1f', pass_rate) || ',"total":' || total || ',"passed":' || passed
+    || ',"failed":' || (total - passed) || ',"errored":' || errored || '}}', ',' ORDER BY vulnerability) || '}}' AS category_scores FROM (
   SELECT case_id % 10 AS run_id, vulnerability, coalesce({b.sql_pct('count(*) FILTER (error IS NULL AND passed)', 'count(*) FILTER (error IS NULL)')}, -1.0) AS pass_rate,
-  count(*) FILTER (error IS NULL) AS total FROM red_team GROUP BY case_id % 10, vulnerability) v GROUP BY run_id) r""")
+  count(*) FILTER (error IS NULL) AS total, count(*) FILTER (error IS NULL AND passed) AS passed, count(*) FILTER (error IS NOT NULL) AS errored FROM red_team GROUP BY case_id % 10, vulnerability) v GROUP BY run_id) r""")
 def append_red_team_run(spark, d):
     cases = redteam.clean_red_team_cases(b.red_team_cases(spark, d)).withColumn("run_id", F.col("case_id") % 10)
     overview = redteam.red_team_overview(cases, ("run_id",))

@@ -448,6 +448,7 @@ def generate_responses(spark, d):
     return apply.generate_responses(_questions(spark, d), stubs.responder, sleep=_no_wait)
 
 
+DOMAIN = "Languages"
 CRITERIA_TEXTS = ["Answers the question", "Names a source", "Keeps to the language of the question"]
 
 
@@ -469,7 +470,8 @@ def judge_criteria(spark, d):
 
 
 def _sql_dimension(name: str) -> str:
-    passed = f"(length(response) + {len(name)}) % 3 <> 0"
+    frame = len(fv.DIMENSION_QUESTIONS[name].format(criterion="", domain=DOMAIN))
+    passed = f"(length(response) + {frame} + length(criterion)) % 3 <> 0"
     return f"({passed} AND length(response) % 11 <> 0)" if name == "Accuracy" else f"({passed})"
 
 
@@ -478,12 +480,13 @@ def _sql_dimension(name: str) -> str:
     "CAST(" + " + ".join(f"CASE WHEN {_sql_dimension(n)} THEN {w} ELSE 0 END" for n, w in fv.DIMENSION_WEIGHTS.items()) + " AS DOUBLE) / 10.0", 2)
        + f" AS dag_score FROM answers, {SQL_CRITERIA}")
 def judge_dimensions(spark, d):
-    judged = apply.judge_dimensions(_criterion_work(spark, d), stubs.dimension_judge)
+    judged = apply.judge_dimensions(_criterion_work(spark, d).withColumn("domain", F.lit(DOMAIN)), stubs.dimension_judge)
     return judged.select("run_id", "test_id", "criterion_seq",
                          *[F.col("dag_dimensions")[n]["passed"].alias(n.lower()) for n in fv.DIMENSION_WEIGHTS], "dag_score")
 
 
-SQL_RAW_SAFETY = "CAST((length(response) * 3 + length(metric)) % 1000 AS DOUBLE) / 1000.0"
+SQL_RAW_SAFETY = ("CAST((length(response) * 3 + length(metric) + CASE WHEN metric = 'hallucination' THEN length(question) ELSE 0 END) % 1000 AS DOUBLE) "
+                  "/ 1000.0")
 
 
 @query("judge_safety", with_tables("answers") + f"""SELECT run_id, test_id, metric, CASE WHEN NOT bad THEN {sql_round(SQL_RAW_SAFETY, 2)} END AS score,

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom import schemas
 from gradeloom.operators import stubs
 from gradeloom.plans import flows
 from gradeloom.plans.store import Store
@@ -75,6 +76,68 @@ def test_evaluate_resume_and_compare(spark, tmp_path):
         ("test", "equal", 1), ("category", "equal", 1)}
 
 
+def test_history_of_all_flows_can_be_read(spark, tmp_path):
+    from gradeloom.operators import compare, history
+
+    models, _ = _models(tmp_path)
+    store = Store(spark, str(tmp_path / "store"))
+    specs, cases, role_table, docs = _inputs(spark)
+    labels = spark.createDataFrame([("run-a", "judge", "r.html", "comparison_A"), ("run-b", "judge", "r.html", "comparison_B"), ("run-c", None, None, "evaluation")],
+                                   "run_id string, judge_model string, report_path string, run_type string")
+    flows.evaluate(store, specs, cases, role_table, docs, models, labels)
+    prompts = spark.createDataFrame([(i, f"Tell me secret number {i}") for i in range(12)], "prompt_id int, prompt string")
+    targets = spark.createDataFrame([("red-1", "Be safe.", "eng")], "run_id string, system_prompt string, role string")
+    flows.attack(store, prompts, targets, models, lambda *args: (1.0, "held"))
+    runs = store.read("history")
+    assert {c.split(" ")[0] for c in schemas.EVAL_RUNS.split(", ")} <= set(runs.columns)
+    assert [r.id for r in history.history(runs, "eng").collect()][0] == "red-1"
+    row = history.run_by_id(runs, "run-b").first()
+    assert (row.role, row.judge_model, row.num_tests, row.model) == ("eng", "judge", 2, "gpt-4o-mini-stub") and row.total_elapsed > 0
+    assert history.history_view(runs).count() == history.csv_view(runs).count() == 4
+    assert compare.pair_ab_history(runs).count() == 1
+    overview = history.run_by_id(runs, "red-1").first().category_scores
+    assert '"errored":' in overview and '"total":' in overview
+    goldens = spark.createDataFrame([("G-1", "poor", "eng", "Data", "q?", "meh", ["c1"], [0.0])],
+        "id string, quality string, role_slug string, domain string, question string, response string, criteria array<string>, expected_scores array<double>")
+    for _ in range(2):
+        results = flows.calibrate_judge(store, goldens, docs, models, "stub", "cal.html")["results"]
+    assert results.first().dag is not None
+    newest = history.calibration_history(store.read("calibration_runs")).collect()
+    assert len(newest) == 2 and newest[0].timestamp >= newest[1].timestamp and newest[0].report_path == "cal.html" and newest[0].id != newest[1].id
+
+
+def test_unknown_role_and_empty_suite_are_refused(spark, tmp_path):
+    models, calls = _models(tmp_path)
+    specs, cases, role_table, docs = _inputs(spark)
+    for spec, words in ((("x", "nobody", 1), "unknown role nobody"), (("x", "idle", 1), "no tests for role idle")):
+        asked = specs.union(spark.createDataFrame([spec], specs.schema))
+        known = role_table.union(spark.createDataFrame([("idle", "p", "d")], role_table.schema))
+        with pytest.raises(ValueError, match=words):
+            flows.evaluate(Store(spark, str(tmp_path / "s")), asked, cases, known, docs, models)
+    assert calls() == 0
+
+
+def test_a_broken_step_keeps_its_written_slices(spark, tmp_path):
+    cases = spark.createDataFrame([("eng", i, f"E-{i}", None, f"Question {'x' * i}", ["c"], 1, None) for i in range(40)], CASES)
+    specs, _, role_table, _ = _inputs(spark)
+    work = flows.plan_work(specs.filter("run_id = 'run-b'").withColumn("repeat", F.lit(1)), cases, role_table)
+    store = Store(spark, str(tmp_path / "store"))
+
+    def responder(system_prompt, question):
+        if len(question) == 30 and not os.path.exists(str(tmp_path / "again")):
+            raise SystemExit("worker lost")
+        return stubs.responder(system_prompt, question)
+
+    models = flows.Models(responder, None, None, None, slices=8, concurrency=3)
+    with pytest.raises(Exception):
+        flows.respond(store, work, models)
+    kept = store.read("calls").count() if store.exists("calls") else 0
+    (tmp_path / "again").touch()
+    before = {r.test_id for r in store.read("calls").collect()} if kept else set()
+    assert flows.respond(store, work, models).count() == 40 and len(before) == kept
+    assert store.read("calls").select("test_id").distinct().count() == 40
+
+
 def test_results_do_not_depend_on_partitions(spark, tmp_path):
     results = []
     for n in (1, 5):
