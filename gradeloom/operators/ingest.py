@@ -95,14 +95,6 @@ def normalize_generated(cases: DataFrame) -> DataFrame:
     )
 
 
-def context_array(raw: str) -> "F.Column":
-    """Raw JSON of a context value (a string or an array of strings) as an array."""
-    value = F.col(raw)
-    return F.when(text.strip(value).startswith("["), F.from_json(value, "array<string>")).when(
-        value.isNotNull(), F.array(value)
-    )
-
-
 def import_clean(cases: DataFrame) -> DataFrame:
     """Defaults by position for imported cases, at most five criteria, empty context dropped."""
     return cases.select(

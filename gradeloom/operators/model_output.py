@@ -7,14 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed_values as fv
 from ..functions.numeric import col
 from ..functions.text import strip
-from .ingest import context_array, normalize_generated
-
-CASE_SCHEMA = "id string, category string, question string, criteria array<string>, weight int, context string"
-GOLD_SCHEMA = (
-    "question string, criterion string, excellent_response string, adequate_response string, "
-    "poor_response string, misleading_response string"
-)
-
+from .ingest import normalize_generated
 
 def without_fence(raw: str | Column) -> Column:
     """Trimmed text, or the inside of its first code fence without a json tag."""
@@ -33,37 +26,27 @@ def bracket_slice(raw: str | Column) -> Column:
     return F.when((start > 0) & (tail > 0) & (end >= start), F.substr(raw, start, end - start + 1))
 
 
-def _parse(text: Column, item_schema: str) -> Column:
-    """Struct(items, _broken) of a text taken as one JSON array. The text is wrapped in an
-    object, which makes anything after the array a syntax error."""
-    wrapped = F.concat(F.lit('{"items":'), text, F.lit("}"))
-    return F.from_json(wrapped, f"items array<struct<{_as_struct(item_schema)}>>, _broken string",
-                       {"columnNameOfCorruptRecord": "_broken"})
-
-
-def _array_of(parsed: str) -> Column:
-    return F.when(F.col(f"{parsed}._broken").isNull(), F.col(f"{parsed}.items"))
+def _array(text: Column) -> Column:
+    """The text as a VARIANT array; NULL where it is no JSON, or JSON of another kind. The parser stops at
+    the end of a value, so the text is put between two keys: what follows the array then shows, as a
+    syntax error, as a further key, or by the loss of the second one."""
+    framed = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"items":'), text, F.lit(',"end":0}'))), "$", "map<string,variant>")
+    alone = (F.size(framed) == 2) & F.map_contains_key(framed, "end")
+    value = F.when(alone, F.element_at(framed, "items"))
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), value)
 
 
-def _as_struct(schema: str) -> str:
-    return ", ".join(f"{name}:{kind}" for name, kind in (part.strip().split(" ", 1) for part in schema.split(", ")))
-
-
-def parse_json_array(df: DataFrame, raw: str, item_schema: str = CASE_SCHEMA) -> DataFrame:
-    """Adds `items` and `parsed_by`: fence (text as such or inside a fence), slice (from the
-    first to the last bracket) or rejected (items NULL)."""
-    plain, sliced = without_fence(raw), bracket_slice(raw)
+def parse_json_array(df: DataFrame, raw: str) -> DataFrame:
+    """Adds `items` (array of VARIANT, one per item of whatever kind) and `parsed_by`: fence (text as such
+    or inside a fence), slice (from the first to the last bracket) or rejected (items NULL)."""
     # One column per step, so that each text is parsed once however often the result is used.
     # The result passes through a generator: a later filter on it would otherwise be pushed
     # below the steps, with a copy of the parser for every mention of a column.
     return (
-        df.withColumn("_text", plain)
-        .withColumn("_p", F.when(F.col("_text").startswith("["), _parse(F.col("_text"), item_schema)))
-        .withColumn("_plain", _array_of("_p"))
-        .withColumn("_s", F.when(F.col("_plain").isNull(), _parse(sliced, item_schema)))
-        .withColumn("_salvaged", _array_of("_s"))
+        df.withColumn("_plain", _array(without_fence(raw)))
+        .withColumn("_salvaged", F.when(F.col("_plain").isNull(), _array(bracket_slice(raw))))
         .select(*df.columns, F.inline(F.array(F.struct(
-            F.coalesce("_plain", "_salvaged").alias("items"),
+            F.try_variant_get(F.coalesce("_plain", "_salvaged"), "$", "array<variant>").alias("items"),
             F.when(F.col("_plain").isNotNull(), "fence").when(F.col("_salvaged").isNotNull(), "slice")
             .otherwise("rejected").alias("parsed_by"),
         ))))
@@ -74,19 +57,38 @@ def rejects(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("parsed_by") == "rejected").drop("items")
 
 
-def cases_from_output(parsed: DataFrame) -> DataFrame:
-    """One normalized test case per parsed item, numbered from 1 within its text."""
+def _items(parsed: DataFrame) -> DataFrame:
+    """One row per item: its place from 1, its value, and whether it is an object."""
     keep = [c for c in parsed.columns if c not in ("items", "parsed_by", "raw")]
-    items = parsed.select(*keep, F.posexplode("items").alias("_pos", "_item"))
-    return normalize_generated(
-        items.select(
-            *keep,
-            (F.col("_pos") + 1).cast("bigint").alias("test_seq"),
-            F.col("_item.id").alias("test_id"), F.col("_item.category").alias("category"),
-            F.col("_item.question").alias("question"), F.col("_item.criteria").alias("criteria"),
-            F.col("_item.weight").alias("weight"), F.col("_item.context").alias("_context"),
-        ).withColumn("context", context_array("_context"))
-    ).drop("_context")
+    rows = parsed.select(*keep, F.posexplode("items").alias("_pos", "_item"))
+    return rows.select(*keep, (F.col("_pos") + 1).cast("bigint").alias("test_seq"), "_item", F.coalesce(F.schema_of_variant("_item").startswith("OBJECT"), F.lit(False)).alias("_is_object"))
+
+
+def item_rejects(parsed: DataFrame) -> DataFrame:
+    """Items that are no objects, with their place and JSON; their neighbours are kept as cases."""
+    return _items(parsed).filter(~F.col("_is_object")).withColumn("item", F.to_json("_item")).drop("_item", "_is_object")
+
+
+def _field(name: str, kind: str = "string") -> Column:
+    return F.try_variant_get("_item", f"$.{name}", kind)
+
+
+def _texts(name: str) -> Column:
+    """A field that is a list of texts, or one text; NULL where it is neither."""
+    is_text = F.schema_of_variant(_field(name, "variant")) == "STRING"
+    return F.coalesce(_field(name, "array<string>"), F.when(is_text, F.array(_field(name))))
+
+
+def cases_from_output(parsed: DataFrame) -> DataFrame:
+    """One normalized test case per item that is an object, numbered by its place in its text. A field of
+    another type is read as what it stands for ("3" as a weight, one criterion for a list), else it
+    counts as missing; it never costs the item or its neighbours."""
+    cases = _items(parsed).filter("_is_object")
+    return normalize_generated(cases.select(
+        *[c for c in cases.columns if not c.startswith("_")],
+        _field("id").alias("test_id"), _field("category").alias("category"), _field("question").alias("question"), _texts("criteria").alias("criteria"),
+        F.floor(_field("weight", "double")).cast("int").alias("weight"), _texts("context").alias("context"),
+    ))
 
 
 def gold_from_items(items: DataFrame) -> DataFrame:

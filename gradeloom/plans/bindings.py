@@ -457,31 +457,39 @@ define("incoming", """SELECT * FROM raw_cases UNION ALL
 # --- model output (events) -----------------------------------------------------------
 
 def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON as models return it: plain, fenced, inside prose, or cut short."""
+    """JSON as models return it: plain, fenced, inside prose, cut short or with a tail; with fields of
+    other types and with items that are no objects."""
     event = F.col("event_id").cast("string")
     k = F.get_json_object("props", "$.k")
+    kind = F.expr("event_id div 4 % 5")
+    criteria = F.when(kind == 2, F.concat(F.lit('"Names '), k, F.lit('"'))).otherwise(F.concat(F.lit('["Names '), k, F.lit('", "Is short"]')))
+    weight = (k.cast("int") % 3 + 1).cast("string")
+    weight = F.when(kind == 1, F.concat(F.lit('"'), weight, F.lit('"'))).when(kind == 4, F.concat(weight, F.lit(".5"))).otherwise(weight)
     item = F.concat(
         F.lit('[{"id": "E-'), event, F.lit('", "category": "'), F.col("event_type"), F.lit('", "question": "What about '), k,
-        F.lit('?", "criteria": ["Names '), k, F.lit('", "Is short"], "weight": '), (k.cast("int") % 3 + 1).cast("string"),
-        F.lit(', "context": "Fact '), k, F.lit('"}, {"id": "F-'), event, F.lit('", "question": "Again?"}]'))
+        F.lit('?", "criteria": '), criteria, F.lit(', "weight": '), weight,
+        F.lit(', "context": "Fact '), k, F.lit('"}, {"id": "F-'), event, F.lit('", "question": "Again?"}'),
+        F.when(kind == 3, F.lit(', 5, "loose text"]')).otherwise(F.lit("]")))
     shape = F.col("event_id") % 4
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("text_id"), F.col("event_type").alias("role_slug"),
         F.when(shape == 0, item)
         .when(shape == 1, F.concat(F.lit("```json\n"), item, F.lit("\n```")))
         .when(shape == 2, F.concat(F.lit("Here are the cases: "), item, F.lit(" I hope they help.")))
+        .when(F.col("event_id") % 8 == 7, F.concat(item, F.lit(', "extra": [1]')))
         .otherwise(F.substring(item, 1, 60)).alias("raw"),
     )
 
 
-define("model_texts", """SELECT event_id AS text_id, event_type AS role_slug, CASE event_id % 4 WHEN 0 THEN item
-  WHEN 1 THEN '```json' || chr(10) || item || chr(10) || '```' WHEN 2 THEN 'Here are the cases: ' || item || ' I hope they help.'
-  ELSE substr(item, 1, 60) END AS raw FROM (SELECT *, '[{"id": "E-' || event_id || '", "category": "' || event_type
-    || '", "question": "What about ' || k || '?", "criteria": ["Names ' || k || '", "Is short"], "weight": ' || (k % 3 + 1)
-    || ', "context": "Fact ' || k || '"}, {"id": "F-' || event_id || '", "question": "Again?"}]' AS item
-  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) e) i""")
+define("model_texts", """SELECT event_id AS text_id, event_type AS role_slug, CASE WHEN event_id % 4 = 0 THEN item
+  WHEN event_id % 4 = 1 THEN '```json' || chr(10) || item || chr(10) || '```' WHEN event_id % 4 = 2 THEN 'Here are the cases: ' || item || ' I hope they help.'
+  WHEN event_id % 8 = 7 THEN item || ', "extra": [1]' ELSE substr(item, 1, 60) END AS raw FROM (SELECT *, '[{"id": "E-' || event_id || '", "category": "' || event_type
+    || '", "question": "What about ' || k || '?", "criteria": ' || CASE WHEN kind = 2 THEN '"Names ' || k || '"' ELSE '["Names ' || k || '", "Is short"]' END
+    || ', "weight": ' || CASE kind WHEN 1 THEN '"' || (k % 3 + 1) || '"' WHEN 4 THEN (k % 3 + 1) || '.5' ELSE CAST(k % 3 + 1 AS VARCHAR) END
+    || ', "context": "Fact ' || k || '"}, {"id": "F-' || event_id || '", "question": "Again?"}' || CASE WHEN kind = 3 THEN ', 5, "loose text"]' ELSE ']' END AS item
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id // 4 % 5 AS kind FROM events) e) i""")
 define("cleaned", """SELECT *, trim(CASE WHEN raw LIKE '```%' THEN regexp_replace(split_part(raw, '```', 2), '^json', '') ELSE raw END, chr(10) || ' ') AS plain,
   CASE WHEN instr(raw, '[') > 0 AND instr(raw, ']') > 0 THEN
     substr(raw, instr(raw, '['), length(raw) - instr(reverse(raw), ']') + 1 - instr(raw, '[') + 1) END AS slice FROM model_texts""", "model_texts")
-define("parsed", """SELECT text_id, role_slug, raw, CASE WHEN json_valid(plain) THEN plain WHEN json_valid(slice) THEN slice END AS items,
-  CASE WHEN json_valid(plain) THEN 'fence' WHEN coalesce(json_valid(slice), false) THEN 'slice' ELSE 'rejected' END AS parsed_by FROM cleaned""", "cleaned")
+define("parsed", """SELECT text_id, role_slug, raw, CASE how WHEN 'fence' THEN plain WHEN 'slice' THEN slice END AS items,
+  how AS parsed_by FROM (SELECT *, CASE WHEN json_valid(plain) AND plain LIKE '[%' THEN 'fence' WHEN coalesce(json_valid(slice), false) THEN 'slice' ELSE 'rejected' END AS how FROM cleaned) c""", "cleaned")

@@ -382,10 +382,19 @@ def parse_json_rejects(spark, d):
     return model_output.rejects(_parsed(spark, d)).select("text_id", "role_slug", "raw")
 
 
+SQL_ITEMS = """SELECT text_id, test_seq, item FROM (SELECT text_id, unnest(range(1, len(l) + 1)) AS test_seq, unnest(l) AS item FROM (
+  SELECT text_id, CAST(CAST(items AS JSON) AS JSON[]) AS l FROM parsed WHERE items IS NOT NULL) p) u"""
+
+
+@query("parse_item_rejects", with_tables("parsed") + f"SELECT text_id, test_seq, CAST(item AS VARCHAR) AS item FROM ({SQL_ITEMS}) i WHERE json_type(item) <> 'OBJECT'")
+def parse_item_rejects(spark, d):
+    return model_output.item_rejects(_parsed(spark, d)).select("text_id", "test_seq", "item")
+
+
 @query("cases_from_output", with_tables("parsed") + f"""SELECT text_id, test_seq, item->>'id' AS test_id, item->>'category' AS category, item->>'question' AS question,
-  coalesce(array_to_string(CAST(item->'criteria' AS VARCHAR[]), '|'), '{fv.REVIEW_PLACEHOLDER}') AS criteria,
-  coalesce(CAST(item->>'weight' AS INTEGER), 2) AS weight, item->>'context' AS context FROM (
-  SELECT text_id, unnest(range(1, len(l) + 1)) AS test_seq, unnest(l) AS item FROM (SELECT text_id, CAST(CAST(items AS JSON) AS JSON[]) AS l FROM parsed WHERE items IS NOT NULL) p) u""")
+  CASE json_type(item->'criteria') WHEN 'ARRAY' THEN array_to_string(CAST(item->'criteria' AS VARCHAR[]), '|') WHEN 'VARCHAR' THEN item->>'criteria'
+    ELSE '{fv.REVIEW_PLACEHOLDER}' END AS criteria,
+  coalesce(CAST(floor(CAST(item->>'weight' AS DOUBLE)) AS INTEGER), 2) AS weight, item->>'context' AS context FROM ({SQL_ITEMS}) i WHERE json_type(item) = 'OBJECT'""")
 def cases_from_output(spark, d):
     return model_output.cases_from_output(_parsed(spark, d)).select(
         "text_id", "test_seq", "test_id", "category", "question", joined("criteria"), "weight", joined("context"))

@@ -178,6 +178,23 @@ def test_json_salvage(spark, raw, parsed_by, items):
     assert (row.parsed_by, None if row["items"] is None else len(row["items"])) == (parsed_by, items)
 
 
+@pytest.mark.parametrize("item, criteria, weight", [
+    ('{"id": "a", "weight": "3"}', ["[REVIEW NEEDED] Add criteria"], 3), ('{"id": "a", "weight": 2.5}', ["[REVIEW NEEDED] Add criteria"], 2),
+    ('{"id": "a", "criteria": "one string"}', ["one string"], 2), ('{"id": "a", "criteria": {"x": 1}, "weight": [1]}', ["[REVIEW NEEDED] Add criteria"], 2),
+])
+def test_one_odd_field_costs_nothing_else(spark, item, criteria, weight):
+    raw = f'[{item}, {{"id": "b", "weight": 1}}, 7, "text", null]'
+    parsed = model_output.parse_json_array(spark.createDataFrame([("r", raw)], "role_slug string, raw string"), "raw")
+    got = {r.test_id: (r.criteria, r.weight) for r in model_output.cases_from_output(parsed).collect()}
+    assert got == {"a": (criteria, weight), "b": (["[REVIEW NEEDED] Add criteria"], 1)}
+    assert [r.test_seq for r in model_output.item_rejects(parsed).orderBy("test_seq").collect()] == [3, 4, 5]
+
+
+@pytest.mark.parametrize("raw, parsed_by", [('[{"id": "a"}], "extra": [1]', "rejected"), ('{"cases": [{"id": "a"}]}', "slice")])
+def test_json_of_another_shape(spark, raw, parsed_by):
+    assert one(model_output.parse_json_array(spark.createDataFrame([(raw,)], "raw string"), "raw")).parsed_by == parsed_by
+
+
 def test_generated_case_defaults(spark):
     raw = '[{"id": "a", "question": "q", "context": "one"}, {"id": "b", "criteria": ["x"], "weight": 3, "context": ["one", "two"]}]'
     parsed = model_output.parse_json_array(spark.createDataFrame([("r", raw)], "role_slug string, raw string"), "raw")
