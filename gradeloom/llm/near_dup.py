@@ -7,10 +7,13 @@ in increasing order, so an element stops at the first one later than all registe
 at once. All texts of a run advance together, one arrival of every element left per step.
 
 Texts of equal words are one before banding. Texts that share a band are candidates; similarity is
-then verified on whole shingle sets (Jaccard >= 0.8). In a bucket all members are compared with one
-centre, twice with different centres, and after each time components are taken. Only members of
-different components in one bucket are then compared with each other, and only where their distances
-to the centre allow it (|d(x,c) - d(y,c)| <= 1 - threshold, since Jaccard distance is a metric). So no
+then verified on whole shingle sets (Jaccard >= 0.8). In a bucket all members are compared with the
+smallest one, the centre, and components are taken. Members outside the centre's component are then
+compared with another member of it, drawn at random in each of their buckets, and components are
+taken again. What is still apart is compared with all members of other components in its buckets, but
+only where a link is possible: x and y share the centre's shingles that both have (a bit for each was
+kept by the first comparison), and outside the centre no more than the smaller of their shingles that
+are in any other text at all. Pairs that cannot reach the threshold by that bound are not made. So no
 link that matters for the classes is lost, and a group of copies doesn't give all its pairs.
 
 Words are those of `native_words`, A-Z lower-cased. A text of fewer than five words, but not none, is
@@ -122,20 +125,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values, last, held = [], None, None
+        values, bits, last, held = [], [], None, None
         for a, b in zip(batch.column("body_a").to_pylist(), batch.column("body_b").to_pylist(), strict=True):
             if a is not last:
                 last, held = a, ex.decode(a)[0]
             other = ex.decode(b)[0]
-            both = len(np.intersect1d(held, other, assume_unique=True))
+            shared = np.isin(held, other, assume_unique=True)
+            both = int(shared.sum())
             values.append(both / (len(held) + len(other) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(values, pa.float64())], names=["u", "v", "similarity"])
+            bits.append(ex.packed_bits(shared).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("u"), batch.column("v"), pa.array(values, pa.float64()), pa.array(bits, pa.list_(pa.int64()))], names=["u", "v", "similarity", "shared"]
+        )
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v and the Jaccard similarity of their shingle sets."""
+    """u, v, the Jaccard similarity of their shingle sets, and a bit for each of u's shingles that v has."""
     rows = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("body").alias("body_a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("body").alias("body_b")), "v")
-    return rows.select("u", "v", "body_a", "body_b").mapInArrow(_similarity, "u long, v long, similarity double")
+    return rows.select("u", "v", "body_a", "body_b").mapInArrow(_similarity, "u long, v long, similarity double, shared array<long>")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -151,43 +158,38 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     same = ["words_a", "words_b"]
     with_words = signed.filter("n_shingles > 0")
     # The smallest id with these words, and its bands (equal words have equal bands).
-    texts = stored(with_words.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "texts")
-    buckets = texts.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("bucket")).distinct()
-    shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("other")).filter("centre <> other")
+    texts = stored(with_words.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "texts")
+    buckets = texts.select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("_other")).filter("centre <> _other").drop("_other")
     members = stored(buckets.join(shared, "bucket"), "members")
     sets = stored(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, body binary").dropDuplicates(["doc_id", "body"]), "sets")
 
-    def star(centre: str, of: DataFrame, name: str) -> DataFrame:
-        pairs = of.filter(F.col("doc_id") != F.col(centre)).select(F.col(centre).alias("u"), F.col("doc_id").alias("v")).distinct()
-        return stored(verified(pairs, sets), name)
+    def tested(pairs: DataFrame, name: str) -> DataFrame:
+        return stored(verified(pairs.distinct(), sets), name)
 
-    def links(*tested: DataFrame) -> DataFrame:
-        out = tested[0]
-        for t in tested[1:]:
+    def links(*parts: DataFrame) -> DataFrame:
+        out = parts[0]
+        for t in parts[1:]:
             out = out.union(t)
         return out.filter(F.col("similarity") >= threshold).select("u", "v")
 
-    def with_component(of: DataFrame, edges: DataFrame) -> DataFrame:
-        found = components(edges, f"{folder}/components-{with_component.calls}")
-        with_component.calls += 1
-        return of.join(found.select(F.col("u").alias("doc_id"), F.col("v").alias("_root")), "doc_id", "left").withColumn("component", F.coalesce("_root", "doc_id")).drop("_root")
-
-    with_component.calls = 0
-
     def unsettled(of: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-        """Members of buckets that hold more than one component."""
-        rows = stored(with_component(of, edges), f"{name}-all")
-        open_ = rows.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("bucket")
+        """Members of buckets that hold more than one component, with theirs and the centre's (main)."""
+        found = components(edges, f"{folder}/{name}-components").select(F.col("u").alias("doc_id"), F.col("v").alias("_root"))
+        rows = stored(of.join(found, "doc_id", "left").withColumn("component", F.coalesce("_root", "doc_id")).drop("_root"), f"{name}-all")
+        open_ = rows.groupBy("bucket").agg(
+            F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.max(F.when(F.col("doc_id") == F.col("centre"), F.col("component"))).alias("main"),
+        ).filter("_lo <> _hi").select("bucket", "main")
         return stored(rows.join(open_, "bucket"), name)
 
-    first = star("centre", members, "first")
+    first = tested(members.filter("doc_id <> centre").select(F.col("centre").alias("u"), F.col("doc_id").alias("v")), "first")
     left = unsettled(members, links(first), "left-1")
-    second = star("other", left.drop("component"), "second")
-    left = unsettled(left.drop("component"), links(first, second), "left-2")
-    near = first.select(F.col("u").alias("centre"), F.col("v").alias("doc_id"), (1 - F.col("similarity")).alias("d"))
-    near = left.join(near.groupBy("centre", "doc_id").agg(F.min("d").alias("d")), ["centre", "doc_id"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    pairs = cross_pairs(near, 1 - threshold)
-    cross = stored(verified(pairs, sets), "cross")
+    drawn = left.filter("component = main").groupBy("bucket").agg(F.min_by("doc_id", F.xxhash64("bucket", "doc_id")).alias("u"))
+    second = tested(left.filter("component <> main").select("bucket", F.col("doc_id").alias("v")).join(drawn, "bucket").select("u", "v"), "second")
+    left = unsettled(left.drop("component", "main"), links(first, second), "left-2")
+    of_centre = first.select(F.col("u").alias("centre"), F.col("v").alias("doc_id"), "shared").dropDuplicates(["centre", "doc_id"])
+    near = left.join(of_centre, ["centre", "doc_id"], "left").join(_own_shingles(left, sets), "doc_id", "left")
+    cross = tested(cross_pairs(near, threshold), "cross")
     # Ids whose rows have different words link them, so their texts share a class.
     by_id = with_words.join(texts.select(*same, "rep"), same).select("doc_id", "rep")
     own = by_id.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u <> v").select("u", "v")
@@ -198,17 +200,37 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     return rows.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
 
 
-def cross_pairs(near: DataFrame, reach: float) -> DataFrame:
-    """Pairs of different components in one bucket whose distances d to the centre differ by at most `reach`.
-
-    Distances are cut into strips as wide as `reach`, so a member meets its own and the next strip only; members
-    of a bucket's largest component don't meet each other.
-    """
-    rows = near.select("bucket", "doc_id", "component", "d", F.floor(F.col("d") / reach).alias("strip"))
-    a = rows.select("bucket", F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("d").alias("du"), F.explode(F.array(F.col("strip"), F.col("strip") + 1)).alias("strip"))
-    b = rows.select("bucket", F.col("doc_id").alias("v"), F.col("component").alias("cv"), F.col("d").alias("dv"), "strip")
-    met = a.join(b, ["bucket", "strip"]).filter((F.col("cu") != F.col("cv")) & (F.abs(F.col("du") - F.col("dv")) <= reach + 1e-9))
-    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def _own_shingles(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc_id, own: how many shingles of a text no other text in `left` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [ex.decode(b)[0] for b in batch.column("body").to_pylist()]
+            ids = np.repeat(batch.column("doc_id").to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))], names=["doc_id", "shingle"])
+
+    rows = sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "body").mapInArrow(run, "doc_id long, shingle long")
+    holders = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("_last"))
+    return holders.filter("doc_id = _last").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def cross_pairs(near: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components in one bucket that may reach the threshold; members of the centre's component don't
+    meet each other. `near` has the bits of the centre's shingles that a text shares (null for the centre: all)."""
+    size, longest = F.col("n"), F.array_repeat(F.lit(-1).cast("long"), F.ceil(F.col("n") / 64).cast("int"))
+    common = F.when(F.col("doc_id") == F.col("centre"), size).otherwise(F.aggregate("shared", F.lit(0).cast("long"), lambda n, x: n + F.bit_count(x)))
+    rows = near.select(
+        "bucket", "doc_id", "n", "component", "main", F.coalesce("shared", longest).alias("shared"),
+        F.greatest(size - common - F.coalesce("own", F.lit(0)), F.lit(0)).alias("outside"),
+    )
+    a = rows.filter("component <> main").select("bucket", *(F.col(c).alias(f"u_{c}") for c in ("doc_id", "n", "component", "shared", "outside")))
+    b = rows.select("bucket", *(F.col(c).alias(f"v_{c}") for c in ("doc_id", "n", "component", "shared", "outside")))
+    both = F.aggregate(F.zip_with("u_shared", "v_shared", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x, F.lit(0)))
+    most = both + F.least("u_outside", "v_outside")
+    sizes = F.least("u_n", "v_n") >= threshold * F.greatest("u_n", "v_n") - 1e-6
+    may_link = sizes & ((1 + threshold) * most >= threshold * (F.col("u_n") + F.col("v_n")) - 1e-6)
+    met = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("u_component") != F.col("v_component")) & may_link)
+    return met.select(F.least("u_doc_id", "v_doc_id").alias("u"), F.greatest("u_doc_id", "v_doc_id").alias("v")).distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
