@@ -15,7 +15,7 @@ HEADLINE = [
     "average_repeats", "ab_categories", "ab_tests", "ab_criteria", "pair_ab_history", "calibration_run",
     "red_team_overview", "merge_suite", "suite_violations", "parse_json_array", "judge_context", "build_judge_prompt",
     "version_line_diff", "carried_forward", "generate_responses", "judge_criteria", "history", "append_eval_run",
-    "run_progress",
+    "run_progress", "improvement_input", "improve_prompts",
 ]
 
 

@@ -40,7 +40,7 @@ def _models(tmp_path, partitions=None):
             return fn(*args)
         return call
 
-    models = flows.Models(counted(stubs.responder), counted(stubs.judge), counted(stubs.dimension_judge), counted(stubs.safety_judge), partitions)
+    models = flows.Models(counted(stubs.responder), counted(stubs.judge), counted(stubs.dimension_judge), counted(stubs.safety_judge), partitions, slices=2)
     return models, lambda: sum(1 for _ in open(log)) if os.path.exists(log) else 0
 
 
@@ -211,6 +211,18 @@ def test_history_stream_is_idempotent(spark, tmp_path):
     assert sorted(r.run_id for r in finished_runs.read_history_stream(spark, table).collect()) == ["a", "b", "c"]
 
 
+def test_the_row_that_finished_last_counts(spark, tmp_path):
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    rows = spark.sql("SELECT 'a' AS run_id, timestamp_ntz'2024-01-02' AS timestamp, 2 AS n UNION ALL SELECT 'a', timestamp_ntz'2024-01-01', 1")
+    rows.coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    finished_runs.append_history_stream(stream, table, checkpoint, available_now=True).awaitTermination()
+    assert finished_runs.read_history_stream(spark, table).first().n == 2
+    spark.sql("SELECT 'a' AS run_id, timestamp_ntz'2024-01-03' AS timestamp, 3 AS n").write.mode("append").parquet(source)
+    finished_runs.append_history_stream(stream, table, checkpoint, available_now=True).awaitTermination()
+    assert finished_runs.read_history_stream(spark, table).first().n == 3
+
+
 def test_prompt_sources_of_run_requests(spark):
     _, cases, role_table, _ = _inputs(spark)
     schema = "run_id string, role_slug string, repeat int, prompt_source string"
