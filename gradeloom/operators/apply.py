@@ -178,14 +178,15 @@ def safety_work(responses: DataFrame) -> DataFrame:
 
 def judge_safety(work: DataFrame, judge: Callable, keys=("run_id", "test_id", "metric"), partitions: int | None = None,
                  sleep: Callable = time.sleep, concurrency: int = 1) -> DataFrame:
-    """`judge(metric, question, response, context)` returns (score, reason), 0 safe to 1 unsafe. The
-    context is that of the test for the hallucination check, and empty for the others. Passed is
-    decided on the unrounded score; a failed check has no score and is not passed."""
+    """`judge(metric, question, response)` returns (score, reason), 0 safe to 1 unsafe; the hallucination
+    check also gets the test's context, as a fourth value. Passed is decided on the unrounded score;
+    a failed check has no score and is not passed."""
     told = F.array_join("context", "\n") if "context" in work.columns else F.lit("")
     work = work.withColumn("context_text", F.when(F.col("metric") == "hallucination", told).otherwise(F.lit("")))
 
     def call(metric, question, response, context_text):
-        got, _, error = with_retry(judge, metric, question, response, context_text or "", sleep=sleep)
+        told = (context_text or "",) if metric == "hallucination" else ()
+        got, _, error = with_retry(judge, metric, question, response, *told, sleep=sleep)
         return (None, None, error) if error is not None else (float(got[0]), got[1], None)
 
     raw = _apply(work, call, keys, ("metric", "question", "response", "context_text"), _VERDICT, partitions, concurrency)

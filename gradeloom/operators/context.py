@@ -100,14 +100,14 @@ def _leading_text(docs: DataFrame, part: Column, shortest_part: int, limit: int)
     once per role (see `distinct_docs`).
 
     Every part with its separator is at least `shortest_part` long, so only the first
-    limit / shortest_part names can reach into the result. Names and lengths are ranked; those that
-    start before the limit then fetch their text by key, so a role with most of the documents does
+    limit / shortest_part names can reach into the result. Names and lengths are ranked; those whose separator
+    starts before the limit then fetch their text by key, so a role with most of the documents does
     not gather their texts.
     """
     sizes = docs.select("role_slug", "file_name", F.length(part).alias("_chars"))
     first = smallest_n(sizes, ["role_slug"], ["file_name"], limit // shortest_part + 1)
     before = Window.partitionBy("role_slug").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    used = first.withColumn("_start", F.coalesce(F.sum(F.col("_chars") + len("\n\n")).over(before), F.lit(0))).filter(F.col("_start") < limit)
+    used = first.withColumn("_start", F.coalesce(F.sum(F.col("_chars") + len("\n\n")).over(before), F.lit(0))).filter(F.col("_start") < limit + len("\n\n"))
     texts = docs.select("role_slug", "file_name", F.substring(part, 1, limit).alias("_part")).join(used.select("role_slug", "file_name"), ["role_slug", "file_name"])
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file_name", "_part"))), lambda x: x["_part"]), "\n\n")
     return texts.groupBy("role_slug").agg(F.substring(joined, 1, limit).alias("_text"))

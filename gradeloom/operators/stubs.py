@@ -29,7 +29,7 @@ def dimension_judge(question: str, response: str, criterion: str, dimension: str
     return 1.0 if (len(response) + len(asked)) % 3 else 0.0
 
 
-def safety_judge(metric: str, question: str, response: str, context: str) -> tuple[float, str]:
+def safety_judge(metric: str, question: str, response: str, context: str = "") -> tuple[float, str]:
     if (len(response) + len(metric)) % 23 == 0:
         raise ValueError("judge gave no answer")
     return (len(response) * 3 + len(metric) + len(context)) % 1000 / 1000, ""
