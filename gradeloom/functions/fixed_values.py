@@ -153,3 +153,45 @@ DIMENSION_QUESTIONS = {
     "Actionability": "Does the response give actionable guidance (how-to steps, commands, code, architecture decisions) for: '{criterion}'? Or is it just a vague recommendation? Context: {domain} assistant.",
     "Accuracy": "Is the response technically correct and free of errors regarding: '{criterion}'? Context: {domain} assistant.",
 }
+
+# The prompt of the improving model.
+IMPROVEMENT_PROMPT = """You are a system prompt engineer. Your job is to improve an AI assistant's system prompt based on evaluation results.
+
+## Current System Prompt
+{current_prompt}
+
+## Evaluation Results
+Overall Score: {overall_score}%
+Grade: {grade}
+
+## Weak Areas (criteria that scored below 70%)
+{weak_areas}
+
+## Recommendations
+{recommendations}
+
+## Your Task
+Generate an IMPROVED version of the system prompt that addresses the weak areas.
+
+Rules:
+1. Keep everything that's working well — don't remove existing good instructions
+2. ADD specific instructions to address each weak area
+3. Add examples or response patterns for criteria that scored poorly
+4. Strengthen guardrails if guardrail tests scored low
+5. Add "always ask clarifying questions" if ambiguity handling scored low
+6. Be specific — "always mention X" is better than "be more thorough"
+7. Keep the same overall structure and persona
+
+Return ONLY the improved system prompt text. No explanation, no markdown fences, no commentary.
+"""
+
+# The prompt of the second call, which lists what changed.
+SUMMARY_PROMPT = """Compare these two system prompts and list the key changes in 3-5 bullet points.
+
+ORIGINAL (first 2000 chars):
+{original}
+
+IMPROVED (first 2000 chars):
+{improved}
+
+Return only bullet points, no introduction."""

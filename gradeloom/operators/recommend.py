@@ -147,53 +147,9 @@ def weak_areas_or_default(criteria: DataFrame, by=("run_id",), order=("test_seq"
     return weak_areas(criteria, by, order).unionByName(strong, allowMissingColumns=True)
 
 
-# The prompt of the improving model.
-IMPROVEMENT_PROMPT = """You are a system prompt engineer. Your job is to improve an AI assistant's system prompt based on evaluation results.
-
-## Current System Prompt
-{current_prompt}
-
-## Evaluation Results
-Overall Score: {overall_score}%
-Grade: {grade}
-
-## Weak Areas (criteria that scored below 70%)
-{weak_areas}
-
-## Recommendations
-{recommendations}
-
-## Your Task
-Generate an IMPROVED version of the system prompt that addresses the weak areas.
-
-Rules:
-1. Keep everything that's working well — don't remove existing good instructions
-2. ADD specific instructions to address each weak area
-3. Add examples or response patterns for criteria that scored poorly
-4. Strengthen guardrails if guardrail tests scored low
-5. Add "always ask clarifying questions" if ambiguity handling scored low
-6. Be specific — "always mention X" is better than "be more thorough"
-7. Keep the same overall structure and persona
-
-Return ONLY the improved system prompt text. No explanation, no markdown fences, no commentary.
-"""
-
-
-# The second call, which lists what changed.
-SUMMARY_PROMPT = """Compare these two system prompts and list the key changes in 3-5 bullet points.
-
-ORIGINAL (first 2000 chars):
-{original}
-
-IMPROVED (first 2000 chars):
-{improved}
-
-Return only bullet points, no introduction."""
-
-
 def prompt_frame() -> tuple[str, str, str]:
     """The text before the weak areas, between them and the recommendations, and after those."""
-    header, rest = IMPROVEMENT_PROMPT.split("{weak_areas}")
+    header, rest = fv.IMPROVEMENT_PROMPT.split("{weak_areas}")
     return (header, *rest.split("{recommendations}"))
 
 
@@ -246,7 +202,7 @@ def improve_prompts(parts: DataFrame, improver: Callable, summarizer: Callable |
         got, _, error = with_retry(improver, "".join(pieces), sleep=sleep)
         summary = None
         if error is None and summarizer is not None:
-            summary, _, error = with_retry(summarizer, SUMMARY_PROMPT.format(original=(head[-1] or "")[:2000], improved=(got or "")[:2000]), sleep=sleep)
+            summary, _, error = with_retry(summarizer, fv.SUMMARY_PROMPT.format(original=(head[-1] or "")[:2000], improved=(got or "")[:2000]), sleep=sleep)
         return (*head[:-1], got, summary, error)
 
     def batch_of(row):

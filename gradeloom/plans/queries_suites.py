@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv, text
-from ..operators import apply, context, ingest, model_output, recommend, roles, stubs
+from ..operators import apply, context, ingest, model_output, recommend, roles
 from ..session import shared_dir
 from ..sources import tables
-from . import bindings as b
+from . import bindings as b, stubs
 from .bindings import sql_round, with_tables
 from .queries_scoring import IMPROVEMENT_PARTS, improvement_inputs_of
 
@@ -538,7 +538,7 @@ def retry_worklist(spark, d):
     return apply.retry_worklist(b.calls(spark, d), keys=("run_id", "k"))
 
 
-_FRAME = len(recommend.SUMMARY_PROMPT.format(original="", improved=""))
+_FRAME = len(fv.SUMMARY_PROMPT.format(original="", improved=""))
 
 
 @query("improve_prompts", with_tables("category_scores", "run_scores") + f"""SELECT run_id, original_score, original_grade, improved_prompt,

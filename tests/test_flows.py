@@ -6,8 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom import schemas
-from gradeloom.operators import stubs
-from gradeloom.plans import flows
+from gradeloom.plans import flows, stubs
 from gradeloom.plans.store import Store
 from gradeloom.streaming import finished_runs, progress
 
