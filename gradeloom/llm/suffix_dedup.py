@@ -37,8 +37,9 @@ from gradeloom.session import shared_dir
 from . import exchange as ex, text_blocks as tb
 
 LENGTH, PERIOD = 200, 64
-#: Bits of a sample's name besides those that tell its bucket. A false tie only costs work: step 2 has 64 bits.
-NAME_BITS = 34
+#: Bits of a name besides those that tell its bucket, in steps 1 and 2. A false tie of samples only costs work. With
+#: buckets of a fixed size, two different suffixes of a bucket share a name with a chance of about 1e-4 per bucket.
+SAMPLE_BITS, SUFFIX_BITS = 31, 50
 BLOCK_BYTES = 12_000_000
 RESULT = "doc_id {id}, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -75,8 +76,20 @@ def _cover_names(buf: np.ndarray, offsets: np.ndarray, length: int, period: int,
     in_cover[difference_cover(period)] = True
     sampled = in_cover[(np.arange(len(buf)) - np.repeat(offsets[:-1], np.diff(offsets))) % period]
     keys, at = _names(buf, offsets, length - period + 1, sampled)
-    drop = np.uint64(max(0, 64 - NAME_BITS - n_buckets.bit_length()))
-    return (keys >> drop) << drop, at
+    return _short(keys, SAMPLE_BITS, n_buckets), at
+
+
+def _short(keys: np.ndarray, bits: int, n_buckets: int) -> np.ndarray:
+    """The leading bits that tell the bucket and `bits` more, still in the place of 64-bit keys."""
+    drop = np.uint64(max(0, 64 - bits - n_buckets.bit_length()))
+    return (keys >> drop) << drop
+
+
+def _in_answers(keys: np.ndarray, answers: dict[int, list[np.ndarray]], n_buckets: int) -> np.ndarray:
+    """Mask of a block's keys that were answered with yes."""
+    names = np.unique(keys)
+    tied = names[ex.answered(names, answers, n_buckets)]
+    return tied[np.minimum(np.searchsorted(tied, keys), len(tied) - 1)] == keys if len(tied) else np.zeros(len(keys), bool)
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,8 +117,7 @@ def _open_suffixes(length: int, period: int, n_buckets: int):
 
     def run(batch, buf, offsets, answers):
         keys, at = _cover_names(buf, offsets, length, period, n_buckets)
-        names, place = np.unique(keys, return_inverse=True)
-        found = at[ex.answered(names, answers, n_buckets)[place]]
+        found = at[_in_answers(keys, answers, n_buckets)]
         first = np.repeat(offsets[:-1], np.diff(offsets))
         edge = np.zeros(len(buf) + 1, np.int32)
         np.add.at(edge, np.maximum(found - period + 1, first[found]), 1)
@@ -118,21 +130,21 @@ def _open_suffixes(length: int, period: int, n_buckets: int):
     return run
 
 
-def _suffix_names(batch, buf, offsets, length):
+def _suffix_names(batch, buf, offsets, length, n_buckets):
     marks = batch.column(2).to_pylist()
     bits = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(marks, np.diff(offsets), strict=True)]) > 0
-    return _names(buf, offsets, length, bits)
+    keys, at = _names(buf, offsets, length, bits)
+    return _short(keys, SUFFIX_BITS, n_buckets), at
 
 
-def _send_suffixes(length: int):
-    return lambda batch, buf, offsets: _distinct(_suffix_names(batch, buf, offsets, length)[0])
+def _send_suffixes(length: int, n_buckets: int):
+    return lambda batch, buf, offsets: _distinct(_suffix_names(batch, buf, offsets, length, n_buckets)[0])
 
 
 def _removed(length: int, n_buckets: int):
     def run(batch, buf, offsets, answers):
-        keys, at = _suffix_names(batch, buf, offsets, length)
-        names, place = np.unique(keys, return_inverse=True)
-        gone = tb.covered(at[ex.answered(names, answers, n_buckets)[place]], length, len(buf))
+        keys, at = _suffix_names(batch, buf, offsets, length, n_buckets)
+        gone = tb.covered(at[_in_answers(keys, answers, n_buckets)], length, len(buf))
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         begins[offsets[:-1][offsets[:-1] < len(buf)]] = gone[offsets[:-1][offsets[:-1] < len(buf)]]
@@ -154,10 +166,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     kind, n = docs.schema["doc_id"].dataType.simpleString(), ex.bucket_count(docs, "text")
     folder, schema = shared_dir(spark, "open-suffixes"), f"doc_id {kind}, text string, marks binary, open boolean"
     ties = ex.answer(ex.send(docs, _send_samples(length, period, n), n, BLOCK_BYTES), _tied, n)
-    ex.matched(docs, ties, _open_suffixes(length, period, n), schema, BLOCK_BYTES).write.option("compression", "zstd").partitionBy("open").parquet(folder)
+    ex.matched(docs, ties, _open_suffixes(length, period, n), schema, BLOCK_BYTES).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "8").partitionBy("open").parquet(folder)
     read = spark.read.schema(schema).parquet(folder)
     left = read.filter("open").select("doc_id", "text", "marks")
-    repeats = ex.answer(ex.send(left, _send_suffixes(length), n, BLOCK_BYTES), _tied, n)
+    repeats = ex.answer(ex.send(left, _send_suffixes(length, n), n, BLOCK_BYTES), _tied, n)
     cut = ex.matched(left, repeats, _removed(length, n), RESULT.format(id=kind), BLOCK_BYTES)
     bytes_ = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     zero = F.lit(0).cast("long")
