@@ -24,6 +24,8 @@ from . import text_blocks as tb
 
 #: Bytes of text for each bucket, and of each block.
 BUCKET_BYTES, BLOCK_BYTES = 6_000_000, 12_000_000
+#: Texts are packed once and rest on disk for the whole run.
+TEXT_LEVEL = 7
 SENT = "bucket int, block long, body binary"
 
 
@@ -104,6 +106,8 @@ def send(docs: DataFrame, fingerprints: Callable[[pa.RecordBatch, np.ndarray, np
             yield pa.RecordBatch.from_arrays(
                 [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), block)), pa.array(bodies, pa.binary())], names=["bucket", "block", "body"]
             )
+            del arrays, bodies
+            tb.give_back()
 
     return docs.mapInArrow(run, SENT)
 
@@ -132,6 +136,7 @@ def answer(sent: DataFrame, judge: Callable[[list[list[np.ndarray]]], list[tuple
         bucket = int(table.column("bucket")[0].as_py())
         back = judge([decode(bodies[k]) for k in order])
         rows = [(int(blocks[k]), encode(*x)) for k, x in zip(order, back, strict=True) if x is not None and len(x[0])]
+        tb.give_back()
         return pa.table({
             "block": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "body": pa.array([r[1] for r in rows], pa.binary()),
         })
@@ -146,9 +151,10 @@ def packed_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _, block in blocks_of(batches, block_bytes):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=TEXT_LEVEL))) as out:
                 out.write_batch(batch)
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "body"])
+        tb.give_back()
 
     return docs.mapInArrow(run, "block long, body binary")
 
@@ -168,6 +174,7 @@ def matched(
         for body in left.column("body").to_pylist():
             batch = pa.ipc.open_stream(body).read_all().combine_chunks().to_batches()[0]
             made.append(finish(batch, *tb.buffers(batch.column(1)), by_bucket))
+        tb.give_back()
         return pa.concat_tables(made)
 
     return packed_texts(docs, block_bytes).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

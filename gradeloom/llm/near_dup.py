@@ -100,6 +100,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))],
                 names=["doc_id", "n_shingles", "words_a", "words_b", "bands"],
             )
+    tb.give_back()
 
 
 def _band_hashes(kept: np.ndarray) -> np.ndarray:
@@ -137,6 +138,7 @@ def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column("u"), batch.column("v"), pa.array(values, pa.float64()), pa.array(bits, pa.list_(pa.int64()))], names=["u", "v", "similarity", "shared"]
         )
+    tb.give_back()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ END_ID = 2
 #: Cost of a token, and of a pair of tokens in one piece.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Pieces of words whose ids a worker remembers; then it starts anew.
-REMEMBERED_PIECES = 2_000_000
+REMEMBERED_PIECES = 1_000_000
 BLOCK_BYTES = 8_000_000
 
 SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, sequence_cost double"
@@ -236,6 +236,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: i
                 tokens = sum(len(x[2]) // 4 for x in held)
     if held:
         yield batch_of(emit(held, True))
+    tb.give_back()
 
 
 def pack(

@@ -95,6 +95,7 @@ def _measure(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, *map(pa.array, columns)], names=[*batch.schema.names, *(PREFIX + c for c in COUNTS)]
         )
+        tb.give_back()
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ document is cut out of the batch by `offsets`; nothing ever spans two documents.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -34,6 +35,14 @@ def worker_state() -> dict:
     return sys.modules.setdefault("gradeloom_worker_state", types.ModuleType("gradeloom_worker_state")).__dict__
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system. Workers stay for later tasks, and would keep it while others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n or more."""
     held = worker_state().setdefault("powers", {})

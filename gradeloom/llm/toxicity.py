@@ -278,6 +278,7 @@ def _scored(model: Boosted, lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(features(batch.column(1), lexicon)))], names=["doc_id", "score"])
+            tb.give_back()
 
     return run
 
