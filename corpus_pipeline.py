@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     surplus = near_dup.classes(docs).filter("class_id <> doc_id").select("doc_id")
-    left = docs.filter("doc_id IS NOT NULL").join(surplus, "doc_id", "left_anti")
+    left = docs.filter("doc_id IS NOT NULL").join(surplus.hint("merge"), "doc_id", "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     left = left.withColumn("_row", first).filter("_row = 1").select(docs.columns)
     return left.union(docs.filter("doc_id IS NULL"))

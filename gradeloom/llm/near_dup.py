@@ -164,7 +164,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     buckets = texts.select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("_other")).filter("centre <> _other").drop("_other")
     members = stored(buckets.join(shared, "bucket"), "members")
-    sets = stored(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, body binary").dropDuplicates(["doc_id", "body"]), "sets")
+    sets = stored(docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, body binary").dropDuplicates(["doc_id", "body"]), "sets")
 
     def tested(pairs: DataFrame, name: str) -> DataFrame:
         return stored(verified(pairs.distinct(), sets), name)
