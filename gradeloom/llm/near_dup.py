@@ -1,10 +1,11 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-Every shingle of five words is an element whose weight grows with the logarithm of its count. Its
-arrivals are a Poisson process of that rate, with random places among the registers; each register
-keeps its first arrival. Equal registers estimate the probability Jaccard similarity. Arrivals come
-in increasing order, so an element stops at the first one later than all registers' times: most stop
-at once. All texts of a run advance together, one arrival of every element left per step.
+Every distinct shingle of five words is an element, all of one weight, however often a text has it: with
+equal weights the probability Jaccard similarity is the Jaccard similarity of the sets, which is what is
+verified. An element's arrivals are a Poisson process of its weight as rate, with random places among the
+registers; each register keeps its first arrival, so registers are equal with that similarity as chance.
+Arrivals come in increasing order, so an element stops at the first one later than all registers' times:
+most stop at once. All texts of a run advance together, one arrival of every element left per step.
 
 Texts of equal words are one before banding. Texts that share a band are candidates; similarity is
 then verified on whole shingle sets (Jaccard >= 0.8). In a bucket all members are compared with the
@@ -37,7 +38,7 @@ from . import exchange as ex, text_blocks as tb
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Bands and registers in a band. A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** 4) ** 20 > 0.9999.
+#: Bands and registers in a band. A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** 4) ** 20 > 0.9999 (equal weights).
 BANDS, ROWS = 20, 4
 
 
@@ -91,8 +92,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offsets = tb.buffers(batch.column(1))
         for i, j, b, o in tb.chunks(buf, offsets):
-            keys, counts, docs, whole = shingles(b, o)
-            kept = prob_min_hash(keys, 1 + np.log(counts), docs, j - i, BANDS * ROWS)
+            keys, _, docs, whole = shingles(b, o)
+            kept = prob_min_hash(keys, np.ones(len(keys)), docs, j - i, BANDS * ROWS)
             bands = _band_hashes(kept)
             n = np.bincount(docs, minlength=j - i)
             yield pa.RecordBatch.from_arrays(

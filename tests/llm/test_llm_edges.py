@@ -129,6 +129,18 @@ def test_near_dup_chain_of_neighbours(spark):
     assert {r.doc_id: r.class_id for r in near_dup.classes(frame).collect()} == brute.near_classes(rows)
 
 
+def test_near_dup_with_repeated_own_lines(spark):
+    """Pairs just above the threshold; each text has a line of its own many times over."""
+    rows = []
+    for k in range(0, 100, 2):
+        shared = " ".join(f"s{k}x{j}" for j in range(118))
+        rows += [(k + i, shared + "".join(f" o{k + i}x{j}" for j in range(10)) * 80) for i in range(2)]
+    want = brute.near_classes(rows)
+    assert all(want[d] == d - d % 2 for d, _ in rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dup.classes(frame).collect()} == want
+
+
 def test_prob_min_hash_estimates_similarity():
     keys = np.random.default_rng(1).integers(1, 2**63, 600, dtype=np.uint64)
     a, b = np.arange(0, 450), np.arange(150, 600)
