@@ -2,10 +2,11 @@
 
 All rolling word k-gram hashes of the documents are joined by Spark with the k-grams of the
 templates. A joint k-gram at document word i and template word j votes for the diagonal i - j;
-votes are counted per document, template and diagonal. Neighbouring diagonals (a word dropped or
-put in moves the rest to the next one) whose spans follow each other are merged, and a merged span
-counts if its votes cover enough of the template. Every vote compares the words themselves, not
-only their hashes. Phrases (short templates) must be covered whole on one diagonal.
+votes are taken per document, template and diagonal. Neighbouring diagonals (a word dropped or
+put in moves the rest to the next one) are merged in the order of diagonals, so strays on far ones (words
+that a template repeats) part nothing. A merged span counts if the distinct template places with a vote
+cover enough of the template; a place that got votes on two diagonals counts once. Every vote compares
+the words themselves, not only their hashes. Phrases (short templates) must be covered whole on one diagonal.
 
 The templates are a parameter of fixed size, so they are broadcast; the scan sends on nothing but
 votes. A null text has no words. Rows equal in id and text are one document whose result is
@@ -50,7 +51,7 @@ def _key(words: str, first: Column, k: int) -> Column:
 
 
 def votes(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, sig, n_words, template columns, first, last (words of the document), diagonal, votes; one row without template per document."""
+    """doc_id, sig, n_words, template columns, diagonal, word (of the document): a row for each vote, and one without template per document."""
     at = F.col("at") - 1
     grams = nw.tokens(docs, id_col, text_col).select(
         "doc_id", "sig", "words", "at",
@@ -61,24 +62,20 @@ def votes(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: s
     return found.select(
         "doc_id", "sig", F.size("words").alias("n_words"), "template", "label", "kind", "size", "k", (F.col("at") == 0).cast("long").alias("is_doc"),
         F.when(F.col("at") > 0, at).alias("word"), F.when(F.col("at") > 0, at - F.col("place")).alias("diagonal"),
-    ).groupBy(*VOTES, "k", "n_words", "diagonal").agg(
-        F.sum("is_doc").alias("copies"), F.count_distinct("word").alias("votes"), F.min("word").alias("first"), F.max("word").alias("last"),
-    )
+    ).groupBy(*VOTES, "k", "n_words", "diagonal", "word").agg(F.sum("is_doc").alias("copies"))
 
 
 def spans(voted: DataFrame, slack: int = SLACK, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """Verified spans: doc_id, sig, template, label, kind, start, end (words, end excluded), coverage.
 
-    The window runs over the diagonals of one template in one document, so it is no longer than the text.
+    The window runs over the votes of one template in one document, so it is bounded by the text.
     """
-    diagonals = voted.filter("template IS NOT NULL")
-    w = Window.partitionBy("doc_id", "sig", "template").orderBy("first", "diagonal")
-    apart = (F.col("kind") == "phrase") | F.lag("last").over(w).isNull() | (F.abs(F.col("diagonal") - F.lag("diagonal").over(w)) > slack) | (
-        F.col("first") - F.lag("last").over(w) > F.col("size")
-    )
+    w = Window.partitionBy("doc_id", "sig", "template").orderBy("diagonal", "word")
+    step = F.col("diagonal") - F.lag("diagonal").over(w)
+    apart = step.isNull() | (step > F.when(F.col("kind") == "phrase", 0).otherwise(slack))
     merged = (
-        diagonals.withColumn("_apart", apart.cast("int")).withColumn("_run", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*VOTES, "k", "_run").agg(F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + F.first("k")).alias("end"))
+        voted.filter("template IS NOT NULL").withColumn("_apart", apart.cast("int")).withColumn("_run", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*VOTES, "k", "_run").agg(F.count_distinct(F.col("word") - F.col("diagonal")).alias("votes"), F.min("word").alias("start"), (F.max("word") + F.first("k")).alias("end"))
     )
     coverage = F.least(F.col("votes") / (F.col("size") - F.col("k") + 1), F.lit(1.0))
     enough = F.when(F.col("kind") == "phrase", coverage >= 1.0).otherwise(coverage >= min_coverage)

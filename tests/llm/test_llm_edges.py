@@ -163,6 +163,22 @@ def test_license_scan(spark, docs, nothing):
     assert [s.label for s in found] == ["mit"] and found[0].coverage > 0.8
 
 
+def test_license_scan_of_edited_notices(spark):
+    """Every notice with a word dropped and words put in; the BSD one with clause numbers and another verb."""
+    rows, labels = [], {}
+    for k, (label, text) in enumerate(license_scan.NOTICES):
+        words = text.split()
+        third = len(words) // 3
+        rows.append((k, " ".join(["Some", "code.", *words[:third], "1.", *words[third : 2 * third], *words[2 * third + 1 :], "The", "end."])))
+        labels[k] = [label]
+    bsd = dict(license_scan.NOTICES)["bsd"].replace("are met: ", "are met: 1. ").replace("disclaimer. Redist", "disclaimer. 2. Redist").replace("are permitted", "is permitted")
+    once = "the above copyright notice this list of conditions and " * 12
+    rows += [(100, bsd), (101, once)]
+    labels |= {100: ["bsd"], 101: []}
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: [s.label for s in r.notice_spans] for r in found} == labels
+
+
 def test_decontaminate(spark, docs, nothing):
     items = [(1, PASSAGE), (2, "two three"), (3, None), (4, ""), (5, "one two three"), (6, "one two three"), (7, "never seen words"), (8, LONG[:400])]
     frame = spark.createDataFrame([*items, (None, "One")], "item_id long, text string")
