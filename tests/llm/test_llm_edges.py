@@ -211,6 +211,30 @@ def test_language_model(spark, docs, nothing):
     assert all(r.n_known == 0 for r in ngram_lm.scores(docs, F.lit(True)).collect())
 
 
+def test_language_model_keeps_whole_hashes_and_small_counts():
+    """Pairs that differ in the last bits only are different; a byte is near every count of a bucket with a very large one."""
+    import pyarrow as pa
+
+    one = np.uint64(1)
+    context, word = np.array([5 << 40], np.uint64), np.array([9 << 40], np.uint64)
+    bodies = [exchange.encode(context, word, np.array([3])), exchange.encode(context + one, word, np.array([0])), exchange.encode(context, word + one, np.array([0]))]
+    table = pa.table({"bucket": pa.array([1] * 3, pa.int32()), "block": [7, 8, 9], "body": pa.array(bodies, pa.binary())})
+    rows = ngram_lm._bucket(1)(table).to_pylist()
+    assert {r["block"]: exchange.decode(r["body"])[1].tolist() for r in rows if r["kind"] == ngram_lm.ANSWER} == {7: [3, 3], 8: [0, 3], 9: [0, 3]}
+    for top in (1, 255, 256, 10**9):
+        counts = np.unique(np.geomspace(1, top, 5000).astype(np.int64))
+        near = np.abs(np.log10(ngram_lm._counts(ngram_lm._codes(counts, top), top) / counts))
+        assert near.max() < 0.02 and (near[counts <= ngram_lm.EXACT] == 0).all()
+
+
+def test_language_model_spreads_a_frequent_context():
+    words = np.sort(np.random.default_rng(8).integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2))
+    place = np.arange(20_000)
+    contexts, successors, cuts, at = ngram_lm._pairs(words, place, np.full(20_000, 77), 16)
+    assert (contexts == words[77]).all() and (successors[at] == words[place]).all()
+    assert np.diff(cuts).max() < 1.2 * 20_000 / 16
+
+
 def test_elias_fano_and_trie():
     r = np.random.default_rng(3)
     for n, top in ((0, 1), (1, 1), (10, 3), (1000, 1 << 40), (5000, 3000)):
