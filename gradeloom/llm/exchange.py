@@ -7,13 +7,14 @@ as keep a bucket's rows at a fixed size whatever the input's size; a fingerprint
 documents share is sent once per block. Answers go back to blocks by their number, where the same
 documents are read again.
 
-A block's number is made of its ids and sizes, so the two readings find each other if the rows of a
+A block's number is made of its ids, sizes and bytes, so the two readings find each other if the rows of a
 partition come in the same order both times. That is so for tables that are read from files; write
 or checkpoint() anything else first. `matched` raises an error otherwise.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,9 +68,10 @@ def cut(keys: np.ndarray, n_buckets: int, whole_bits: int = 0) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges(n_buckets, whole_bits)), [len(keys)]]).astype(np.int64)
 
 
-def block_number(ids: pa.Array, offsets: np.ndarray) -> int:
-    """Number of a block, from the ids (null as zero) and sizes of its documents."""
-    whole = np.concatenate([[len(offsets)], pa_ints(ids), offsets]).astype(np.int64).view(np.uint64)
+def block_number(ids: pa.Array, offsets: np.ndarray, buf: np.ndarray) -> int:
+    """Number of a block, from the ids (null as zero), sizes and bytes of its documents."""
+    text = int.from_bytes(hashlib.blake2b(buf, digest_size=8).digest(), "little", signed=True)
+    whole = np.concatenate([[len(offsets), text], pa_ints(ids), offsets]).astype(np.int64).view(np.uint64)
     return int(tb.item_windows(tb.mixed(whole + np.uint64(1)), len(whole)).view(np.int64)[0])
 
 
@@ -90,7 +92,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[p
             j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + limit, "right")) - 1)
             part = batch.slice(i, j - i)
             buf, offsets = tb.buffers(part.column(1))
-            yield part, buf, offsets, block_number(part.column(0), offsets)
+            yield part, buf, offsets, block_number(part.column(0), offsets, buf)
             i = j
 
 

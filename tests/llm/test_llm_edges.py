@@ -261,6 +261,15 @@ def test_small_blocks_give_the_same(spark, docs, monkeypatch):
     assert listed(substring_dedup.dedup(docs), "doc_id", "n_words", "n_removed", "kept") == want
 
 
+def test_blocks_of_other_texts_have_other_numbers():
+    import pyarrow as pa
+
+    texts = ["same size", "size same", "same size"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([t])], names=["doc_id", "text"]) for t in texts]
+    a, b, c = (number for *_, number in exchange.blocks_of(iter(batches), 100))
+    assert a != b and a == c
+
+
 def test_encoding_is_lossless():
     r = np.random.default_rng(5)
     keys, other = np.sort(r.integers(0, 2**63, 1000, dtype=np.uint64) * np.uint64(2)), r.integers(-5, 5, 1000)
