@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, near_dup, ngram_lm, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import chat_format, decontaminate, license_scan, near_dup, ngram_lm, packing, prefix_trie, quality_rules, substring_dedup, suffix_dedup, token_files, toxicity
 
 QUERIES: dict = {
     "op1_packing": (packing.query, None),
@@ -15,4 +15,6 @@ QUERIES: dict = {
     "op8_ngram_lm": (ngram_lm.query, None),
     "op9_substring_dedup": (substring_dedup.query, substring_dedup.SQL),
     "op10_chat_format": (chat_format.query, chat_format.SQL),
+    "op11_prefix_trie": (prefix_trie.query, prefix_trie.SQL),
+    "op13_token_files": (token_files.query, None),
 }
