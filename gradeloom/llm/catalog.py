@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, near_dup, ngram_lm, packing, prefix_trie, quality_rules, substring_dedup, suffix_dedup, token_files, toxicity
+from . import chat_format, collocations, decontaminate, license_scan, near_dup, ngram_lm, packing, prefix_trie, quality_rules, substring_dedup, suffix_dedup, token_files, toxicity
 
 QUERIES: dict = {
     "op1_packing": (packing.query, None),
@@ -16,5 +16,6 @@ QUERIES: dict = {
     "op9_substring_dedup": (substring_dedup.query, substring_dedup.SQL),
     "op10_chat_format": (chat_format.query, chat_format.SQL),
     "op11_prefix_trie": (prefix_trie.query, prefix_trie.SQL),
+    "op12_collocations": (collocations.query, collocations.SQL),
     "op13_token_files": (token_files.query, None),
 }
