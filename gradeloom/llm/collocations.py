@@ -175,12 +175,12 @@ def _grown(sequence: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndar
     return at, (before[at] << WORD_BITS) | sequence[at + size]
 
 
-def _cells(stream: np.ndarray, side: dict[int, list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the phrases one word longer than those whose ids `side` has. side[0]: word ids, side[k]: ids of phrases of k + 1 words."""
+def _cells(stream: np.ndarray, side: dict[int, list[bytes]], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the phrases of `length` words. side[0]: word ids, side[k]: ids of the block's phrases of k + 1 words; it may have none."""
     if 0 not in side:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sequence = before = _sequence(stream, side[0][0])
-    for size in range(1, max(side) + 1):
+    for size in range(1, length - 1):
         at, codes = _grown(sequence, before, size)
         told = [decode(b) for b in side.get(size, ())]
         known, ids = (np.concatenate([np.zeros(0, np.int64), *(t[k].view(np.int64) for t in told)]) for k in (0, 1))
@@ -189,18 +189,22 @@ def _cells(stream: np.ndarray, side: dict[int, list[bytes]]) -> tuple[np.ndarray
         found = np.searchsorted(known[:-1], codes)
         before = np.full(len(sequence), -1, np.int64)
         before[at] = np.where(known[found] == codes, ids[found], -1)
-    _, codes = _grown(sequence, before, max(side) + 1)
+    _, codes = _grown(sequence, before, length - 1)
     return tile_counts(codes >> WORD_BITS, codes & ((1 << WORD_BITS) - 1))
 
 
-def _count(left: pa.Table, right: pa.Table, n_buckets: int) -> pa.Table:
-    """Cells of one block, a row for each bucket."""
+def _count(length: int, n_buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Function over one block and what is known of it: its cells, a row for each bucket."""
+    return lambda left, right: _counted(left, right, length, n_buckets)
+
+
+def _counted(left: pa.Table, right: pa.Table, length: int, n_buckets: int) -> pa.Table:
     rows = []
     for block, lang, body in zip(*(left.column(c).to_pylist() for c in ("block", "lang", "body")), strict=True):
         side: dict[int, list[bytes]] = {}
         for kind, held in zip(right.column("kind").to_pylist(), right.column("body").to_pylist(), strict=True):
             side.setdefault(kind, []).append(held)
-        codes, counts = _cells(_unsqueezed(body), side)
+        codes, counts = _cells(_unsqueezed(body), side, length)
         bucket = (tb.mixed(codes.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
         order = np.lexsort((codes, bucket))
         codes, counts, bucket = codes[order], counts[order], bucket[order]
@@ -295,7 +299,7 @@ def phrases(
     streams = blocks.select("block", "lang", "body")
     for size in range(2, max_words + 1):
         asked = size < max_words
-        sent = streams.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(lambda left, right: _count(left, right, n_buckets), SENT)
+        sent = streams.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_count(size, n_buckets), SENT)
         judged = sent.groupBy("lang", "bucket").applyInArrow(_judge(min_count, n_buckets, asked), "lang string, block long, body binary")
         judged = _written(judged, f"{folder}/judged{size}")
         table = judged.filter("block IS NULL").select("lang", "body").mapInArrow(_table_rows, "lang string, before long, word_id long, f long, id long")

@@ -67,13 +67,14 @@ def _xors_before(rows: DataFrame, at: str, longest: int, width: int) -> DataFram
     if longest <= width:
         before = Window.partitionBy("conv").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
         return rows.withColumns({f"b{k}": F.coalesce(F.bit_xor(f"e{k}").over(before), F.lit(0)) for k in (1, 2)})
-    rows = rows.withColumn("range", F.floor((F.col(at) - 1) / width) + 1)
-    sums = rows.groupBy("conv", "range").agg(*(F.bit_xor(f"e{k}").alias(f"e{k}") for k in (1, 2)))
-    sums = _xors_before(sums, "range", -(-longest // width), RANGE).select("conv", "range", F.col("b1").alias("s1"), F.col("b2").alias("s2"))
-    inside = Window.partitionBy("conv", "range").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    wide = f"{at}_range"
+    rows = rows.withColumn(wide, F.floor((F.col(at) - 1) / width) + 1)
+    sums = rows.groupBy("conv", wide).agg(*(F.bit_xor(f"e{k}").alias(f"e{k}") for k in (1, 2)))
+    sums = _xors_before(sums, wide, -(-longest // width), RANGE).select("conv", wide, F.col("b1").alias("s1"), F.col("b2").alias("s2"))
+    inside = Window.partitionBy("conv", wide).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumns({f"b{k}": F.coalesce(F.bit_xor(f"e{k}").over(inside), F.lit(0)) for k in (1, 2)})
-    joined = local.join(sums.filter("range > 1 AND (s1 <> 0 OR s2 <> 0)"), ["conv", "range"], "left")
-    return joined.withColumns({f"b{k}": F.col(f"b{k}").bitwiseXOR(F.coalesce(F.col(f"s{k}"), F.lit(0))) for k in (1, 2)}).drop("range", "s1", "s2")
+    joined = local.join(sums.filter(F.col(wide) > 1), ["conv", wide], "left")
+    return joined.withColumns({f"b{k}": F.col(f"b{k}").bitwiseXOR(F.coalesce(F.col(f"s{k}"), F.lit(0))) for k in (1, 2)}).drop(wide, "s1", "s2")
 
 
 def beginnings(turns: DataFrame, longest: int, band: int) -> DataFrame:

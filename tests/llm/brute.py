@@ -130,3 +130,70 @@ def phrase_places(text, phrases):
 
 def fold(doc_id, n):
     return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % n
+
+
+def rebuilt_turns(rows):
+    """rows: (conv_id, turn, role, text) -> {conv_id: [(role, text)]} with shared first turns."""
+    import hashlib as h
+
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, h.md5((role or "").encode()).digest(), h.md5((text or "").encode()).digest(), role or "", text or ""))
+    own = {c: [t[4:] for t in sorted(turns)] for c, turns in own.items()}
+    out = {}
+    for c, turns in own.items():
+        first = zlib.crc32(str(c).encode()) % 9
+        other = c - (abs(c) % 5) * (1 if c >= 0 else -1)
+        out[c] = own.get(other, [])[:first] + turns[first:]
+    return out
+
+
+def trie(convs):
+    """{id: [turn]} -> (conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of each node."""
+    members, ends, below = defaultdict(list), defaultdict(list), defaultdict(set)
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+            if d:
+                below[tuple(turns[: d - 1])].add(tuple(turns[:d]))
+        ends[tuple(turns)].append(c)
+    leaves, saved = Counter(), Counter()
+    for node, convs_here in members.items():
+        value = (len(convs_here) - 1) * len(node[-1][1].encode()) if node else 0
+        for d in range(len(node) + 1):
+            leaves[node[:d]] += not below[node]
+            saved[node[:d]] += value
+    return [
+        (min(m), len(n), min(members[n[:-1]]) if n else None, len(m), len(below[n]), leaves[n], saved[n], hashlib.sha256(",".join(map(str, sorted(ends[n]))).encode()).hexdigest())
+        for n, m in members.items()
+    ]
+
+
+def collocations(rows, max_words=3, least=10, keep=50, top=2000):
+    """rows: (lang, text) -> (lang, rank, phrase, a, l, r, n, score)."""
+    counts, totals = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            for m in range(1, max_words + 1):
+                counts[lang].update(windows(words, m))
+    out = []
+    for lang, f in counts.items():
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        longest = Counter()
+        for p, a in candidates.items():
+            for m in range(2, len(p)):
+                for q in windows(p, m):
+                    longest[q] = max(longest[q], a)
+        found = []
+        for p, a in candidates.items():
+            if q := longest[p]:
+                if 100 * q >= keep * a:
+                    continue
+            score, _, left, right = min((10**6 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+            found.append((-score, -a, " ".join(p).encode(), left, right))
+        out += [(lang, k + 1, p.decode(), -a, left, right, totals[lang], -s) for k, (s, a, p, left, right) in enumerate(sorted(found)[:top])]
+    return out
