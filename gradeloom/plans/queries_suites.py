@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv, text
 from ..operators import apply, context, ingest, model_output, recommend, roles
 from ..session import shared_dir
-from ..sources import tables
+from ..sources import documents, tables
 from . import bindings as b, stubs
 from .bindings import sql_round, with_tables
 from .queries_scoring import IMPROVEMENT_PARTS, improvement_inputs_of
@@ -170,13 +170,15 @@ def save_suite_json(spark, d):
         "role_slug", "test_seq", "test_id", "category", "question", joined("criteria"), "weight", joined("context"))
 
 
-@query("read_test_suite", """SELECT t.p_type || '_v1_weak' AS role_slug, count(*) AS num_tests FROM part t GROUP BY t.p_type""")
+@query("read_test_suite", with_tables("raw_cases") + "SELECT role_slug || '_v1_weak' AS role_slug, count(*) AS num_tests, min(test_seq) AS first_seq, max(length(question)) AS longest FROM raw_cases GROUP BY role_slug")
 def read_test_suite(spark, d):
-    """Suites found for weak variants, which share the suite of their base role."""
-    cases = b.cases(spark, d)
+    """Suites written as JSON, read with the reader, and found for weak variants, which share the suite of their base role."""
+    path = shared_dir(spark, "suite")
+    tables.save_suite_json(b.raw_cases(spark, d), path)
+    cases = tables.read_test_suite(spark, path)
     weak = cases.select(F.concat("role_slug", F.lit(fv.WEAK_SUFFIX)).alias("variant")).distinct()
-    return (weak.withColumn("role_slug", text.base_slug("variant")).join(cases, "role_slug")
-            .groupBy(F.col("variant").alias("role_slug")).agg(F.count(F.lit(1)).alias("num_tests")))
+    return (weak.withColumn("role_slug", text.base_slug("variant")).join(cases, "role_slug").groupBy(F.col("variant").alias("role_slug"))
+            .agg(F.count(F.lit(1)).alias("num_tests"), F.min("test_seq").alias("first_seq"), F.max(F.length("question")).alias("longest")))
 
 
 @query("read_generated_json", with_tables("raw_cases") + f"""SELECT test_id, category, {sql_joined('criteria')}, coalesce(weight, 2) AS weight
@@ -295,23 +297,47 @@ def run_totals(spark, d):
 
 # --- context -------------------------------------------------------------------------
 
-@query("read_reference_docs", with_tables("docs") + "SELECT role_slug, file_name, content FROM docs")
-def read_reference_docs(spark, d):
-    """Documents that are also found in the root folder count once, with the folder's text."""
+#: A byte that is not UTF-8, and what stands for it once read.
+BAD_BYTE, SQL_REPLACED = "ff", "chr(65533)"
+
+
+def _doc_files(spark, d):
+    """Every document as a file in the folder of its source, ending in a byte that cannot be decoded."""
     docs = b.reference_docs(spark, d)
-    folder = docs.withColumn("in_root", F.lit(False)).withColumn("path", F.concat(F.lit("docs/"), "role_slug", F.lit("/"), "file_name"))
-    root = docs.withColumn("in_root", F.lit(True)).withColumn("path", F.concat(F.lit("docs/"), "file_name")).withColumn("content", F.lit("other"))
-    return context.distinct_docs(folder.unionByName(root))
+    return docs.select(F.concat("role_slug", F.lit("/"), "file_name").alias("path"), F.concat(F.coalesce("content", F.lit("")).cast("binary"), F.unhex(F.lit(BAD_BYTE))).alias("content"))
 
 
-@query("read_source_docs", "SELECT lang AS role_slug, 'doc_' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' AS file_name, text AS content FROM documents")
-def read_source_docs(spark, d):
+@query("read_reference_docs", with_tables("docs") + f"""SELECT role_slug, file_name, coalesce(content, '') || {SQL_REPLACED} AS content FROM docs
+  UNION ALL SELECT r.role_slug, s.role_slug || '_notes.md', 'for ' || s.role_slug FROM (SELECT DISTINCT role_slug FROM docs) r
+  JOIN (SELECT DISTINCT role_slug FROM docs) s ON starts_with(s.role_slug, r.role_slug)""")
+def read_reference_docs(spark, d):
+    """Written as files and found again: a folder for each role, and notes for each role in the root; files with other suffixes are no documents."""
+    root = shared_dir(spark, "docs")
+    roles = b.reference_docs(spark, d).select("role_slug").distinct()
+    notes = roles.select(F.concat("role_slug", F.lit("_notes.md")).alias("path"), F.concat(F.lit("for "), "role_slug").cast("binary").alias("content"))
+    others = roles.select(F.concat("role_slug", F.lit("/table.csv")).alias("path"), F.lit(b"no").alias("content"))
+    documents.write_files(_doc_files(spark, d).union(notes).union(others), root)
+    return tables.read_reference_docs(spark, root, roles)
+
+
+def _requests(spark, d):
     """Each language asks for its documents by path, twice, and for paths that do not exist."""
-    path = F.format_string("docs/doc_%09d.md", "doc_id")
-    docs = b.table(spark, d, "documents")
-    requests = docs.select(F.col("lang").alias("role_slug"), F.array(path, F.concat(path, F.lit(".gone")), path).alias("paths"))
-    stored = b.reference_docs(spark, d).withColumn("path", F.concat(F.lit("docs/"), "file_name")).drop("role_slug")
-    return context.requested_docs(requests, stored)
+    root = shared_dir(spark, "docs")
+    documents.write_files(_doc_files(spark, d), root)
+    path = F.concat(F.lit(f"{root}/"), "source", F.format_string("/doc_%09d.md", "doc_id"))
+    return b.table(spark, d, "documents").select(F.col("lang").alias("role_slug"), F.array(path, F.concat(path, F.lit(".gone")), path).alias("paths"))
+
+
+@query("read_source_docs", f"SELECT lang AS role_slug, 'doc_' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' AS file_name, coalesce(text, '') || {SQL_REPLACED} AS content FROM documents")
+def read_source_docs(spark, d):
+    return tables.read_requested_docs(_requests(spark, d))[0]
+
+
+@query("read_source_errors", "SELECT lang AS role_slug, 'doc_' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md.gone' AS file_name, 'not found' AS error FROM documents")
+def read_source_errors(spark, d):
+    """What was asked for and could not be read, as rows."""
+    errors = tables.read_requested_docs(_requests(spark, d))[1]
+    return errors.select("role_slug", F.element_at(F.split("path", "/"), -1).alias("file_name"), "error")
 
 
 @query("build_context", with_tables("docs") + "SELECT role_slug, file_name, '### ' || file_name || chr(10) || content AS part_text FROM docs")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import os
+import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions import fixed_values as fv, text
 from ..operators import model_output
-from ..operators.context import distinct_docs
+from ..operators.context import distinct_docs, requested_docs
 from ..operators.history import csv_view
+from ..session import shared_dir
+from . import documents
 
 
 # --- test suites ---------------------------------------------------------------------
@@ -42,38 +43,21 @@ def save_suite_json(cases: DataFrame, path: str) -> None:
 
 # --- reference documents -------------------------------------------------------------
 
-def _load_docs(spark: SparkSession, path: str) -> DataFrame:
-    suffixes = ",".join(s.lstrip(".") for s in fv.DOC_SUFFIXES)
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"*.{{{suffixes}}}")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .load(path)
-    )
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
-        "path", F.element_at(F.split("path", "/"), -2).alias("folder"), name.alias("file_name"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-    )
-
-
 def read_reference_docs(spark: SparkSession, root: str, roles: DataFrame) -> DataFrame:
     """Documents of each role: the files of its folder, and files right below the root whose
     name starts with the role. Undecodable bytes are replaced; a name counts once per role.
 
     The name match is an equality join on the prefixes of the file name.
     """
-    files = _load_docs(spark, root)
-    top = os.path.basename(root.rstrip("/"))
+    files = documents.read_files(spark, root=root, suffixes=",".join(fv.DOC_SUFFIXES)).filter("error IS NULL").drop("size", "error")
     slugs = roles.select("role_slug").distinct()
     in_folder = (
-        files.filter(F.col("folder") != top).withColumnRenamed("folder", "role_slug").join(slugs, "role_slug", "left_semi")
+        files.filter("folder IS NOT NULL").withColumnRenamed("folder", "role_slug").join(slugs, "role_slug", "left_semi")
         .withColumn("in_root", F.lit(False))
     )
     prefixes = F.transform(F.sequence(F.lit(1), F.length("file_name")), lambda n: F.substr("file_name", F.lit(1), n))
     in_root = (
-        files.filter(F.col("folder") == top).drop("folder").withColumn("role_slug", F.explode(prefixes))
+        files.filter("folder IS NULL").drop("folder").withColumn("role_slug", F.explode(prefixes))
         .join(slugs, "role_slug", "left_semi").withColumn("in_root", F.lit(True))
     )
     return distinct_docs(in_folder.unionByName(in_root))
@@ -81,19 +65,24 @@ def read_reference_docs(spark: SparkSession, root: str, roles: DataFrame) -> Dat
 
 def read_source_docs(spark: SparkSession, paths: list[str], role_slug: str) -> DataFrame:
     """Documents from an explicit list of paths; paths that do not exist are skipped."""
-    found = None
-    for path in paths:
-        try:
-            docs = spark.read.text(path, wholetext=True).select(
-                F.lit(path).alias("path"), F.lit(os.path.basename(path)).alias("file_name"), F.col("value").alias("content"))
-        except AnalysisException as exc:
-            if exc.getCondition() != "PATH_NOT_FOUND":
-                raise
-            continue
-        found = docs if found is None else found.unionByName(docs)
-    if found is None:
-        return spark.createDataFrame([], "role_slug string, file_name string, content string")
-    return distinct_docs(found.withColumn("role_slug", F.lit(role_slug)))
+    files = documents.read_files(spark, paths=json.dumps([str(p) for p in paths]))
+    return distinct_docs(files.filter("error IS NULL").select(F.lit(role_slug).alias("role_slug"), "path", "file_name", "content"))
+
+
+def read_requested_docs(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors) of many roles at once: `requests` has role_slug and an array of paths.
+
+    Each distinct path is read once, by tasks that take their paths from a written manifest, so
+    neither the paths nor their number reach the driver. Errors are rows (role_slug, path, error).
+    """
+    spark = requests.sparkSession
+    wanted = requests.select("role_slug", F.explode("paths").alias("path")).distinct()
+    folder = shared_dir(spark, "requested")
+    documents.write_manifest(wanted, f"{folder}/manifest")
+    documents.read_files(spark, manifest=f"{folder}/manifest").write.parquet(f"{folder}/files")  # read once for both results
+    files = spark.read.parquet(f"{folder}/files")
+    errors = wanted.join(files.filter("error IS NOT NULL").select("path", "error"), "path").select("role_slug", "path", "error")
+    return requested_docs(requests, files.filter("error IS NULL")), errors
 
 
 # --- history -------------------------------------------------------------------------
