@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import calibrate, history, perf, redteam, scoring, versions
 from ..session import shared_dir
-from ..sources import tables
-from ..streaming import finished_runs, progress
+from ..sources import keyed, tables
+from ..streaming import batches, finished_runs, progress, tracker
 from . import bindings as b
 from .bindings import sql_verdict, with_tables
 from .queries_scoring import PERF, SQL_GAP, SQL_IS_ISSUE, SQL_METRICS, SQL_TIERS, scored_tests
@@ -116,6 +116,17 @@ def append_eval_run(spark, d):
         "avg_latency", "p95_latency", "total_tokens", "estimated_cost")
 
 
+@query("append_repeated", with_tables("runs") + "SELECT run_type, count(*) AS n, CAST(sum(CAST(round(overall_pct * 10) AS BIGINT)) AS BIGINT) AS tenths, max(num_tests) AS num_tests FROM runs GROUP BY run_type")
+def append_repeated(spark, d):
+    """Runs appended with other numbers, then whole, then one half again: the table holds each run once, as it was appended last."""
+    path, runs = shared_dir(spark, "history"), b.eval_runs(spark, d)
+    odd = F.col("id") % 2 == 1
+    for rows in (runs.withColumns({"overall_pct": F.lit(0.0), "num_tests": F.lit(10**6).cast("long")}), runs, runs.filter(odd)):
+        keyed.put_rows(rows, path, ["id"], "run_type")
+    return tables.read_history(spark, path).groupBy("run_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("overall_pct") * 10).cast("long")).alias("tenths"), F.max("num_tests").alias("num_tests"))
+
+
 @query("append_red_team_run", with_tables("red_team") + f"""SELECT run_id, 'red_team' AS run_type, 'Red Team Assessment' AS prompt_name, rate AS overall_pct,
   {sql_verdict('rate')} AS grade, attacks AS num_tests, 0 AS num_criteria, category_scores, 'Pass rate: ' || printf('%.1f', rate) || '% | ' || attacks || ' attacks' AS notes FROM (
   SELECT run_id, coalesce({b.sql_round(b.sql_avg('CASE WHEN pass_rate >= 0 THEN pass_rate END'), 1)}, 0.0) AS rate, CAST(sum(total) AS BIGINT) AS attacks,
@@ -141,8 +152,8 @@ def append_calibration_run(spark, d):
     runs_path, issues_path = shared_dir(spark, "calibration"), shared_dir(spark, "issues")
     issues = calibrate.calibration_issues(results).select("run_id", "test_id", "issue")
     tables.append_calibration_run(calibrate.calibration_run(results, ("run_id",)), issues, runs_path, issues_path)
-    counts = spark.read.parquet(issues_path).groupBy("run_id").agg(F.count(F.lit(1)).alias("issue_rows"))
-    return spark.read.parquet(runs_path).join(counts, "run_id", "left").withColumn("issue_rows", F.coalesce("issue_rows", F.lit(0)))
+    counts = keyed.read_keyed(spark, issues_path).groupBy("run_id").agg(F.count(F.lit(1)).alias("issue_rows"))
+    return keyed.read_keyed(spark, runs_path).join(counts, "run_id", "left").withColumn("issue_rows", F.coalesce("issue_rows", F.lit(0)))
 
 
 @query("append_role_version", with_tables("versions") + """SELECT role_slug, id, substr(md5(prompt_text), 1, 8) AS prompt_hash,
@@ -150,7 +161,7 @@ def append_calibration_run(spark, d):
 def append_role_version(spark, d):
     path = shared_dir(spark, "versions")
     tables.append_role_version(b.versions(spark, d), path)
-    return spark.read.parquet(path).select("role_slug", "id", "prompt_hash", "test_hash", "context_hash")
+    return keyed.read_keyed(spark, path).select("role_slug", "id", "prompt_hash", "test_hash", "context_hash")
 
 
 @query("evolve_schema", with_tables("runs") + """SELECT id, overall_pct, CASE WHEN run_type <> 'evaluation' THEN dag_pct END AS dag_pct,
@@ -240,6 +251,27 @@ def run_progress(spark, d):
     return progress.latest_progress(spark.read.parquet(table)).select("run_id", "done", "last_test")
 
 
+#: Time without a call after which a run counts as stalled. No two calls are as far apart to the microsecond.
+STALL_US = 21_600_000_500
+
+
+@query("run_status", with_tables("calls") + f"""SELECT run_id, done, total, last_test, CASE WHEN done >= total THEN 'done'
+  WHEN last_us + {STALL_US} < (SELECT max(epoch_us(started_at)) FROM calls) - 3600000000 THEN 'stalled' ELSE 'running' END AS status FROM (
+  SELECT run_id, count(DISTINCT test_id) AS done, count(DISTINCT test_id) + run_id % 3 % 2 AS total, CAST(arg_max(test_id, started_at) AS VARCHAR) AS last_test,
+  max(epoch_us(started_at)) AS last_us FROM calls GROUP BY run_id) r""")
+def run_status(spark, d):
+    """The call log and the starts of its runs as streams, run to their end. Every third run asks for one test more than it has calls of."""
+    starts = b.calls(spark, d).groupBy("run_id").agg((F.count_distinct("test_id") + F.col("run_id") % 3 % 2).alias("total"), F.min("started_at").alias("started_at"))
+    path, table, checkpoint = shared_dir(spark, "starts"), shared_dir(spark, "status"), shared_dir(spark, "status-checkpoint")
+    starts.write.parquet(path)
+    own = spark.newSession()  # its state store setting is its own
+    for name, value in tracker.STATE_STORE.items():
+        own.conf.set(name, value)
+    events = tracker.run_events(own.readStream.schema(starts.schema).parquet(path), b.calls_of(_stream(own, d, "events")))
+    _finish(progress.write_progress(tracker.tracked_runs(events, stall_after_ms=STALL_US // 1000, forget_after_ms=10**12), table, checkpoint, available_now=True))
+    return progress.latest_progress(batches.read_batches(spark, table)).select("run_id", "done", "total", "last_test", "status")
+
+
 @query("run_progress_batch", with_tables("calls") + "SELECT run_id, count(DISTINCT test_id) AS done, arg_max(test_id, started_at) AS last_test FROM calls GROUP BY run_id")
 def run_progress_batch(spark, d):
     return progress.batch_progress(b.calls(spark, d))

@@ -12,7 +12,7 @@ from ..operators import model_output
 from ..operators.context import distinct_docs, requested_docs
 from ..operators.history import csv_view
 from ..session import shared_dir
-from . import documents
+from . import documents, keyed
 
 
 # --- test suites ---------------------------------------------------------------------
@@ -94,28 +94,29 @@ def append_rows(rows: DataFrame, path: str, partition_by: str | None = None) ->
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
-def append_eval_runs(rows: DataFrame, path: str) -> None:
-    """Summary rows of evaluation, comparison, generated or red-team runs."""
-    append_rows(rows.withColumn("category_scores", F.to_json("category_scores")), path, "run_type")
+def append_eval_runs(rows: DataFrame, path: str, key: str = "run_id") -> None:
+    """Summary rows of evaluation, comparison, generated or red-team runs. A run appended again replaces its row."""
+    keyed.put_rows(rows.withColumn("category_scores", F.to_json("category_scores")), path, [key], "run_type")
 
 
-def append_calibration_run(run: DataFrame, issues: DataFrame, path: str, issues_path: str) -> None:
+def append_calibration_run(run: DataFrame, issues: DataFrame, path: str, issues_path: str, key: str = "run_id") -> None:
     """Headline row and its issue lines. The lines are rows of their own table, keyed by the
-    run, because their number grows with the gold data."""
-    append_rows(run, path)
-    append_rows(issues, issues_path)
+    run, because their number grows with the gold data. A run appended again replaces row and lines; of a run
+    without lines none are left."""
+    keyed.put_rows(run, path, [key])
+    keyed.put_rows(issues, issues_path, [key], gone=run.select(key))
 
 
 def append_role_version(versions: DataFrame, path: str) -> None:
-    """Snapshots with the hashes of their texts."""
+    """Snapshots with the hashes of their texts. A version appended again replaces itself."""
     from ..operators.versions import with_hashes
 
-    append_rows(with_hashes(versions), path)
+    keyed.put_rows(with_hashes(versions), path, ["role_slug", "id"])
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all schema generations; columns that older files lack are NULL."""
-    return evolve_schema(spark.read.option("mergeSchema", "true").parquet(path))
+    return evolve_schema(keyed.read_keyed(spark, path))
 
 
 def evolve_schema(runs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-STATE_COLUMNS = ("done", "last_test", "last_at")
+from . import batches
 
 
 def run_progress(calls: DataFrame, delay: str = "1 hour", keys=("run_id", "test_id"), at: str = "started_at") -> DataFrame:
@@ -23,21 +23,23 @@ def run_progress(calls: DataFrame, delay: str = "1 hour", keys=("run_id", "test_
     )
 
 
-def write_progress(progress: DataFrame, table: str, checkpoint: str, available_now: bool = False):
-    """Append every update with its batch number; `latest_progress` reads the current state. A
-    batch that is written twice after a failure leaves the same state."""
+def write_progress(progress: DataFrame, table: str, checkpoint: str, available_now: bool = False, by: str = "run_id",
+                   merge_every: int = batches.MERGE_EVERY):
+    """Write every update to the folder of its batch; `latest_progress` reads the current state. A
+    batch that is written twice after a failure leaves the same state; older folders are merged."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(table)
+        batches.write_batch(batch, batch_id, table, lambda rows: latest_progress(rows, by=by), merge_every)
 
     writer = progress.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def latest_progress(updates: DataFrame, totals: DataFrame | None = None, by: str = "run_id") -> DataFrame:
-    """Newest state of each run; with totals (run, total) also its status."""
-    newest = updates.groupBy(by).agg(F.max(F.struct("batch_id", *STATE_COLUMNS)).alias("_n"))
-    state = newest.select(by, *[F.col(f"_n.{c}").alias(c) for c in STATE_COLUMNS])
+    """Newest state of each run; with totals (run, total) also its status. Updates of `tracked_runs` bring theirs with them."""
+    columns = [c for c in updates.columns if c not in (by, batches.COLUMN)]
+    newest = updates.groupBy(by).agg(F.max_by(F.struct(*columns), batches.COLUMN).alias("_n"))
+    state = newest.select(by, *[F.col(f"_n.{c}").alias(c) for c in columns])
     if totals is None:
         return state
     return (
