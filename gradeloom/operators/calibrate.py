@@ -21,6 +21,16 @@ def explode_goldens(goldens: DataFrame) -> DataFrame:
     )
 
 
+def judged_goldens(rows: DataFrame, verdicts: DataFrame, dimensions: DataFrame, keys) -> DataFrame:
+    """Gold rows with the judge's score (`geval`) and, from the verdicts on the dimensions, the dag score
+    (`actual_dag`); either is NULL where the judge gave none."""
+    keys = list(keys)
+    return (
+        rows.join(verdicts.select(*keys, F.col("score").alias("geval")), keys, "left")
+        .join(dimensions.select(*keys, F.col("dag_score").alias("actual_dag")), keys, "left")
+    )
+
+
 def calibration_results(rows: DataFrame) -> DataFrame:
     """Deviation of the judge's score (`geval`) from the expected one; within 0.25 passes.
     Compared as decimals, so that exactly 0.25 passes."""

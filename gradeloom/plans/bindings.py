@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import half_up
-from ..functions import labels
+from ..functions import fixed_values as fv, labels
 from ..operators.spread import numbered
 
 PATTERN_BRANDS = {
@@ -250,6 +250,18 @@ define("calibrated", """SELECT *, CAST(abs(CAST(expected AS DECIMAL(12,6)) - CAS
   abs(CAST(expected AS DECIMAL(12,6)) - CAST(geval AS DECIMAL(12,6))) <= CAST(0.25 AS DECIMAL(12,6)) AS passed FROM gold""", "gold")
 
 
+def gold_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the dimensions of the gold items; every tenth item has none, and one dimension of every seventh failed."""
+    entries = []
+    for i, name in enumerate(fv.DIMENSION_WEIGHTS):
+        passed = (F.col("doc_id") + i) % 3 != 0
+        entries += [F.lit(name), F.struct(F.lit(0.5).alias("score"), F.when(F.col("doc_id") % 7 != i, passed).alias("passed"))]
+    return table(spark, sf_dir, "labels").filter("doc_id % 10 <> 0").select(F.col("doc_id").alias("test_id"), F.create_map(*entries).alias("dag_dimensions"))
+
+
+SQL_GOLD_DAG = " + ".join(f"CASE WHEN test_id % 7 <> {i} AND (test_id + {i}) % 3 <> 0 THEN {w} ELSE 0 END" for i, w in enumerate(fv.DIMENSION_WEIGHTS.values()))
+
+
 def safety_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run = source, test = document; an unlabeled document is a check that failed to run."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")

@@ -122,7 +122,7 @@ def append_repeated(spark, d):
     path, runs = shared_dir(spark, "history"), b.eval_runs(spark, d)
     odd = F.col("id") % 2 == 1
     for rows in (runs.withColumns({"overall_pct": F.lit(0.0), "num_tests": F.lit(10**6).cast("long")}), runs, runs.filter(odd)):
-        keyed.put_rows(rows, path, ["id"], "run_type")
+        keyed.put_rows(rows, path, ["id"], "run_type", buckets=4)
     return tables.read_history(spark, path).groupBy("run_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("overall_pct") * 10).cast("long")).alias("tenths"), F.max("num_tests").alias("num_tests"))
 

@@ -187,6 +187,16 @@ def perf_summary(spark, d):
     return perf.perf_summary(perf.priced(b.calls(spark, d)))
 
 
+@query("perf_merged", with_tables("priced_longest") + PERF.replace("run_id", "role"))
+def perf_merged(spark, d):
+    """Calls counted by run, role and day, stored in two appends, and the figures of each role from the stored counts."""
+    path, calls = shared_dir(spark, "counts"), perf.priced(b.calls(spark, d)).withColumn("day", F.col("started_at").cast("date"))
+    first = F.dayofmonth("day") <= 15
+    for part in (calls.filter(first), calls.filter(~first)):
+        perf.call_counts(part, ("run_id", "role", "day")).write.mode("append").partitionBy("day").parquet(path)
+    return perf.perf_from_counts(perf.merged_counts(spark.read.parquet(path), ["role"]), ["role"])
+
+
 @query("nearest_rank_percentile", with_tables("calls") + f"""SELECT run_id, {sql_round('p50', 2)} AS p50_latency, {sql_round('p95', 2)} AS p95_latency FROM (
   SELECT run_id, max(latency_seconds) FILTER (r = n // 2) AS p50, max(latency_seconds) FILTER (r = least(n * 95 // 100, n - 1)) AS p95
   FROM (SELECT run_id, latency_seconds, row_number() OVER (PARTITION BY run_id ORDER BY latency_seconds) - 1 AS r,
@@ -200,6 +210,26 @@ def match_cost(spark, d):
     return perf.priced(b.calls(spark, d)).select("run_id", "test_id", "model_id", "price_key", "estimated_cost_usd")
 
 
+SQL_PART_MODELS = "SELECT p_partkey AS test_id, p_type || '-' || p_brand AS model_id, p_size AS input_tokens, p_partkey % 100 AS output_tokens FROM part"
+#: Types, brands and types with brand of small parts are keys; prices are made of their lengths.
+SQL_PART_PRICES = """SELECT DISTINCT k AS model_key, CAST(length(k) AS DOUBLE) AS input_per_million, CAST(length(k) % 7 AS DOUBLE) AS output_per_million FROM (
+  SELECT unnest([lower(p_type), lower(p_brand), CASE WHEN p_size < 5 THEN lower(p_type || '-' || p_brand) END]) AS k FROM part) y WHERE k IS NOT NULL"""
+
+
+@query("match_cost_table", f"""SELECT test_id, model_id, price_key, (input_tokens * coalesce(i, 0.0) + output_tokens * coalesce(o, 0.0)) / 1000000.0 AS estimated_cost_usd
+  FROM ({SQL_PART_MODELS}) c LEFT JOIN (SELECT id, arg_min(model_key, (-length(model_key), model_key)) AS price_key,
+  arg_min(input_per_million, (-length(model_key), model_key)) AS i, arg_min(output_per_million, (-length(model_key), model_key)) AS o
+  FROM (SELECT DISTINCT model_id AS id FROM ({SQL_PART_MODELS}) a) m JOIN ({SQL_PART_PRICES}) p ON contains(lower(m.id), p.model_key) GROUP BY id) b ON b.id = c.model_id""")
+def match_cost_table(spark, d):
+    """Prices from a table that grows with the data, matched as the longest key that a model id holds."""
+    part, both = b.table(spark, d, "part"), F.concat("p_type", F.lit("-"), "p_brand")
+    calls = part.select(F.col("p_partkey").alias("test_id"), both.alias("model_id"), F.col("p_size").alias("input_tokens"), (F.col("p_partkey") % 100).alias("output_tokens"))
+    keys = F.array(F.lower("p_type"), F.lower("p_brand"), F.when(F.col("p_size") < 5, F.lower(both)))
+    prices = part.select(F.explode(keys).alias("model_key")).distinct().select(
+        "model_key", F.length("model_key").cast("double").alias("input_per_million"), (F.length("model_key") % 7).cast("double").alias("output_per_million"))
+    return perf.priced_by(calls, prices).select("test_id", "model_id", "price_key", "estimated_cost_usd")
+
+
 @query("match_cost_first", with_tables("priced_first") + "SELECT run_id, test_id, model_id, price_key, estimated_cost_usd FROM priced_first")
 def match_cost_first(spark, d):
     return perf.priced(b.calls(spark, d), "first").select("run_id", "test_id", "model_id", "price_key", "estimated_cost_usd")
@@ -480,9 +510,15 @@ SQL_METRICS = f"""{SQL_ACCURACY}, coalesce({sql_round(sql_avg('deviation'), 3)},
 SQL_IS_ISSUE = "(quality = 'excellent' AND geval < 0.5) OR (quality = 'poor' AND geval > 0.5) OR (quality = 'misleading' AND geval > 0.3)"
 
 
-@query("calibration_results", with_tables("calibrated") + "SELECT test_id, quality, expected, geval, deviation, passed FROM calibrated")
+@query("calibration_results", with_tables("calibrated") + f"""SELECT test_id, quality, expected, geval, deviation, passed,
+  CASE WHEN test_id % 10 <> 0 THEN {sql_round(f'CAST({b.SQL_GOLD_DAG} AS DOUBLE) / 10.0', 2)} END AS actual_dag FROM calibrated""")
 def calibration_results(spark, d):
-    return _calibrated(spark, d).select("test_id", "quality", "expected", "geval", "deviation", "passed")
+    """Gold items joined with what the judge said of them, criterion and dimensions."""
+    gold = b.gold_rows(spark, d)
+    verdicts = gold.select("test_id", F.col("geval").alias("score"))
+    dimensions = b.gold_dimensions(spark, d).withColumn("dag_score", scoring.dag_score_of("dag_dimensions"))
+    judged = calibrate.judged_goldens(gold.drop("geval"), verdicts, dimensions, ["test_id"])
+    return calibrate.calibration_results(judged).select("test_id", "quality", "expected", "geval", "deviation", "passed", "actual_dag")
 
 
 @query("calibration_metrics", with_tables("calibrated") + f"SELECT {SQL_METRICS} FROM calibrated")

@@ -360,6 +360,11 @@ def context_info(spark, d):
     return context.context_info(b.doc_roles(spark, d), b.reference_docs(spark, d))
 
 
+@query("context_files", with_tables("docs") + """SELECT role_slug, file_name, CAST(length(content) AS BIGINT) AS chars FROM docs""")
+def context_files(spark, d):
+    return context.context_files(b.reference_docs(spark, d))
+
+
 @query("build_generation_source", with_tables("docs", "doc_roles") + f"""SELECT r.role_slug, substr(coalesce(c.t || chr(10) || chr(10) || '{fv.SYSTEM_PROMPT_HEADING}' || chr(10), '')
   || r.system_prompt, 1, 8000) AS source_text FROM doc_roles r LEFT JOIN (SELECT role_slug,
   string_agg('--- ' || file_name || ' ---' || chr(10) || content, chr(10) || chr(10) ORDER BY file_name) AS t FROM docs GROUP BY role_slug) c ON c.role_slug = r.role_slug""")

@@ -16,7 +16,7 @@ from ..operators.spread import null_safe_join, smallest_n
 from ..session import shared_dir
 
 BUCKET = "key_bucket"
-BUCKETS = 32
+BUCKETS = 16
 
 
 def bucket_of(keys: list[str], buckets: int) -> Column:
