@@ -190,7 +190,7 @@ def calibrate_judge(store: Store, goldens: DataFrame, docs: DataFrame, models: M
 
     verdicts = store.append_slices("gold_verdicts", rows, key, judged, models.slices)
     dimensions = store.append_slices("gold_dimensions", rows, key, checked, models.slices)
-    scored = calibrate.judged_goldens(rows, verdicts, dimensions, key).withColumnRenamed("id", "test_id")
+    scored = calibrate.judged_goldens(rows, verdicts, dimensions, key).withColumnsRenamed({"id": "test_id", "actual_dag": "dag"})
     results = store.replace("calibration_results", calibrate.calibration_results(scored))
     headline = calibrate.calibration_run(results).withColumns({
         "judge_model": F.lit(judge_model), "timestamp": F.localtimestamp(), "report_path": F.lit(report_path), "id": F.expr("uuid()")})

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..functions import fixed_values as fv, text
-from ..operators import apply, context, ingest, model_output, recommend, roles
+from ..operators import apply, context, ingest, model_output, queue, recommend, roles
 from ..session import shared_dir
 from ..sources import documents, tables
 from . import bindings as b, stubs
 from .bindings import sql_round, with_tables
 from .queries_scoring import IMPROVEMENT_PARTS, improvement_inputs_of
+from .store import Store
 
 QUERIES: dict = {}
 
@@ -546,6 +547,26 @@ def align_verdicts(spark, d):
     return apply.align_verdicts(work.select("run_id", "test_id", "criterion_seq"), judged).drop("errored")
 
 
+@query("retry_queue", with_tables("answers") + """SELECT run_id, test_id, CASE WHEN length(question) % 13 = 0 THEN 1 ELSE least(test_id % 4 + 1, 3) END AS attempt,
+  CASE WHEN length(question) % 13 = 0 THEN 'invalid request' WHEN test_id % 4 = 3 THEN '429 rate limit reached' END AS error,
+  CASE WHEN length(question) % 13 <> 0 AND test_id % 4 < 3 THEN 'Answer ' || (test_id % 4 + 1) || ': ' || question END AS response FROM answers""")
+def retry_queue(spark, d):
+    """Calls of which some are refused up to three times: each waits in the log until it is due again."""
+    store, outputs = Store(spark, shared_dir(spark, "queue")), T.StructType([T.StructField("response", T.StringType())])
+    work = b.answers(spark, d).select("run_id", "test_id", "question")
+    done = queue.drain(store, "attempts", work, stubs.busy_responder, apply.CALL_KEY, ("test_id", "question"), outputs, per_second=100_000, first_wait=0.1)
+    return done.select("run_id", "test_id", "attempt", "error", "response")
+
+
+@query("pending_slices", with_tables("answers") + f"""SELECT run_id, test_id, criterion_seq, length(response) AS chars FROM answers, {SQL_CRITERIA}""")
+def pending_slices(spark, d):
+    """Work done in four slices after a first job did only the first criterion of each: nothing is done twice."""
+    store, work = Store(spark, shared_dir(spark, "slices")), _criterion_work(spark, d)
+    made = lambda pending: pending.select(*apply.CRITERION_KEY, F.length("response").cast("long").alias("chars"))
+    store.append_slices("made", work.filter("criterion_seq = 0"), apply.CRITERION_KEY, made, 4)
+    return store.append_slices("made", work, apply.CRITERION_KEY, made, 4)
+
+
 @query("pending_work", with_tables("answers") + f"""SELECT run_id, test_id, criterion_seq, criterion FROM answers, {SQL_CRITERIA}
   WHERE NOT (length(response) % 2 = 0 AND criterion_seq = 0)""")
 def pending_work(spark, d):

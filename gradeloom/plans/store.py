@@ -8,6 +8,12 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import shared_dir
+
+
+#: Partition column of tables written in slices, with their number behind it.
+SLICED = "slice_of_"
+
 
 @dataclass(frozen=True)
 class Store:
@@ -18,7 +24,8 @@ class Store:
         return f"{self.root.rstrip('/')}/{name}"
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        rows = self.spark.read.parquet(self.path(name))
+        return rows.drop(*[c for c in rows.columns if c.startswith(SLICED)])
 
     def exists(self, name: str) -> bool:
         try:
@@ -36,12 +43,38 @@ class Store:
 
     def append_slices(self, name: str, work: DataFrame, keys, make: Callable[[DataFrame], DataFrame], slices: int) -> DataFrame:
         """Rows that `make` gives for the work not in the table yet, committed slice by slice: a job that
-        breaks off keeps every slice written before. A slice is a hash range of the keys."""
-        for k in range(slices):
-            mine = work.filter(F.pmod(F.xxhash64(*keys), F.lit(slices)) == k) if slices > 1 else work
-            self.append(name, make(self.pending(name, mine, keys)))
+        breaks off keeps every slice written before.
+
+        A slice is a hash class of the keys, and a folder: of the work, which is written once in slices, and of the
+        table. So each slice reads its own part of both, and all of them together read each once. A table keeps the
+        number of slices that it was begun with; one that was begun without slices stays one folder.
+        """
+        held = self._slices(name) if self.exists(name) else slices
+        if held <= 1:
+            self.append(name, make(self.pending(name, work, keys)))
+            return self.read(name)
+        column = f"{SLICED}{held}"
+        staged = shared_dir(self.spark, "work")
+        work.withColumn(column, F.pmod(F.xxhash64(*keys), F.lit(held)).cast("int")).write.partitionBy(column).parquet(staged)
+        for k in range(held):
+            make(self.pending_slice(name, self.spark.read.parquet(staged), keys, column, k)).write.mode("append").parquet(f"{self.path(name)}/{column}={k}")
         return self.read(name)
 
+    def _slices(self, name: str) -> int:
+        """Number of slices of a table; 1 where it has none."""
+        return max([int(c.removeprefix(SLICED)) for c in self._columns(name) if c.startswith(SLICED)], default=1)
+
+    def _columns(self, name: str) -> list[str]:
+        return self.spark.read.parquet(self.path(name)).columns
+
+    def pending_slice(self, name: str, staged: DataFrame, keys, column: str, k: int) -> DataFrame:
+        """The work of one slice without a row in the table yet; both sides read the folders of this slice only."""
+        mine = staged.filter(F.col(column) == k).drop(column)
+        if not self.exists(name):
+            return mine
+        done = self.spark.read.parquet(self.path(name)).filter(F.col(column) == k)
+        return mine.join(done.select(*keys), list(keys), "left_anti")
+
     def replace(self, name: str, rows: DataFrame) -> DataFrame:
         rows.write.mode("overwrite").parquet(self.path(name))
         return self.read(name)

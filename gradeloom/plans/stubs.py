@@ -17,6 +17,15 @@ def responder(system_prompt: str, question: str) -> dict:
     }
 
 
+def busy_responder(test_id: int, question: str, attempt: int) -> tuple[str]:
+    """Up to three refusals for a passing reason, by the test; some questions are never answered."""
+    if len(question) % 13 == 0:
+        raise ValueError("invalid request")
+    if attempt <= test_id % 4:
+        raise RuntimeError("429 rate limit reached")
+    return (f"Answer {attempt}: {question}",)
+
+
 def judge(question: str, response: str, criterion: str, prompt: str) -> tuple[float, str]:
     if len(response) % 19 == 0:
         raise ValueError("judge gave no answer")
