@@ -6,8 +6,10 @@
 4. Decontamination: documents that hold a window of the benchmark go.
 5. Packing: the rest becomes pieces of sequences.
 
-Documents without id are never duplicates of others and lose no words; they are judged like all
-others elsewhere. The stages read their input twice, so it must come from files, as it does here.
+In stage 2 rows that share an id, or have none, are documents of their own, told apart by their text: equal
+rows are one document, and behind all others in the order of ids. Documents without id lose no words in stage 3; they are judged
+like all others elsewhere. Columns besides doc_id, text, lang, source and n_chars pass through the stages under
+names of their own, so they may have any name. The stages read their input twice, so it must come from files, as it does here.
 """
 
 from __future__ import annotations
@@ -23,19 +25,53 @@ from gradeloom.llm import decontaminate, near_dup, packing, quality_rules, subst
 from gradeloom.session import shared_dir  # noqa: E402
 
 
+#: Columns that the stages know; all others get numbered names on the way through a stage.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.toDF(*[c if c in KNOWN else f"own_{k}" for k, c in enumerate(docs.columns)])
+
+
+def _any_names(stage):
+    """The stage with columns of any name: they come out as they went in."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(spark, _plain(docs), sf_dir).toDF(*docs.columns)
+
+    return run
+
+
+@_any_names
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.filter(quality_rules.PREFIX + "kept").select(docs.columns)
 
 
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """`docs` with a column key: the id where it is given and stands once, else a number above 2^62 made of id and text."""
+    counted = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
+    if counted.isEmpty():
+        return docs.withColumn("key", F.col("doc_id").cast("long"))
+    again = counted.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("other"))
+    by_text = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))
+    known = docs.filter("doc_id IS NOT NULL").join(again, F.col("doc_id") == F.col("other"), "left")
+    known = known.withColumn("key", F.when(F.col("other").isNull(), F.col("doc_id").cast("long")).otherwise(by_text)).drop("other")
+    path = shared_dir(spark, "keyed")  # from files, as near_dup reads it twice
+    known.union(docs.filter("doc_id IS NULL").withColumn("key", by_text)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@_any_names
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    surplus = near_dup.classes(docs).filter("class_id <> doc_id").select("doc_id")
-    left = docs.filter("doc_id IS NOT NULL").join(surplus.hint("merge"), "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    left = left.withColumn("_row", first).filter("_row = 1").select(docs.columns)
-    return left.union(docs.filter("doc_id IS NULL"))
+    keyed = _keyed(spark, docs)
+    surplus = near_dup.classes(keyed, id_col="key").filter("class_id <> doc_id").select(F.col("doc_id").alias("key"))
+    left = keyed.join(surplus.hint("merge"), "key", "left_anti")
+    first = F.row_number().over(Window.partitionBy("key").orderBy("key"))  # rows of one key are equal in id and text
+    return left.withColumn("place", first).filter("place = 1").select(docs.columns)
 
 
+@_any_names
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     rows = substring_dedup.dedup(docs, keep=[*rest, "n_chars"]).filter("n_words = 0 OR n_removed < n_words")
@@ -44,6 +80,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.select([named[c].alias(c) for c in docs.columns])
 
 
+@_any_names
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hits = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit > 0")
     hits = hits.select(F.col("doc_id").alias("_id"), "sig").distinct()
@@ -52,7 +89,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.default_tokenizer()).withColumn("ids_crc32", F.crc32("ids"))
+    return packing.pack(_plain(docs), packing.default_tokenizer()).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
