@@ -42,6 +42,14 @@ def history_newest(spark, d):
     return run_columns(history.history(b.eval_runs(spark, d), "2-HIGH"))
 
 
+@query("newest_runs", with_tables("runs") + f"SELECT {RUN_COLUMNS} FROM runs WHERE role = '2-HIGH' ORDER BY runs.timestamp DESC, id DESC LIMIT 100")
+def newest_runs(spark, d):
+    """The same from a table by month, of which the newest months are read."""
+    path = shared_dir(spark, "by-month")
+    tables.append_by_period(b.eval_runs(spark, d), path)
+    return run_columns(tables.read_newest(spark, path, 100, "2-HIGH"))
+
+
 @query("run_by_id", with_tables("runs") + f"SELECT {RUN_COLUMNS} FROM runs WHERE id = 1234")
 def run_by_id(spark, d):
     return run_columns(history.run_by_id(b.eval_runs(spark, d), 1234))

@@ -10,7 +10,7 @@ from .. import schemas
 from ..functions import fixed_values as fv, text
 from ..operators import model_output
 from ..operators.context import distinct_docs, requested_docs
-from ..operators.history import csv_view
+from ..operators.history import csv_view, history as newest_runs
 from ..session import shared_dir
 from . import documents, keyed
 
@@ -87,6 +87,10 @@ def read_requested_docs(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- history -------------------------------------------------------------------------
 
+#: Partition column of tables by period.
+PERIOD = "run_period"
+
+
 def append_rows(rows: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Append to a parquet table. Runs are partitioned by run_type, which the history pages
     filter on."""
@@ -119,6 +123,27 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return evolve_schema(keyed.read_keyed(spark, path))
 
 
+def append_by_period(rows: DataFrame, path: str, period: str = "yyyy-MM", key: str = "id", time: str = "timestamp") -> None:
+    """Runs in folders by the month (or, with yyyy-MM-dd, the day) they finished, for `read_newest`. A run appended again
+    replaces its row. Choose periods that hold many runs: each is a folder."""
+    keyed.put_rows(rows.withColumn(PERIOD, F.concat(F.lit("p"), F.date_format(time, period))), path, [key], PERIOD, buckets=1)
+
+
+def read_newest(spark: SparkSession, path: str, limit: int = 100, role: str | None = None) -> DataFrame:
+    """The newest runs of a table of `append_by_period`. Periods are read from the newest back, twice as many each time
+    until enough runs stand; older ones are not touched. Runs without time come last."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where) if f.isDirectory()]
+    periods = sorted((n for n in names if n.startswith(f"{PERIOD}=")), key=lambda n: (n.startswith(f"{PERIOD}=p"), n), reverse=True)
+    taken = 1
+    while True:
+        runs = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(*[f"{path}/{d}" for d in periods[:taken]]).drop(PERIOD, keyed.BUCKET)
+        found = newest_runs(runs, role, limit)
+        if taken >= len(periods) or found.count() >= limit:
+            return found
+        taken *= 2
+
+
 def evolve_schema(runs: DataFrame) -> DataFrame:
     """Add the columns that came later to data written before them."""
     kinds = dict(column.split(" ") for column in schemas.EVAL_RUNS.split(", "))

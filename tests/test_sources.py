@@ -75,3 +75,16 @@ def test_prompt_files(spark, tmp_path):
     (tmp_path / "p.txt").write_text(" hi \n")
     row = tables.prompt_files(spark, str(tmp_path / "*.txt")).collect()[0]
     assert (row.file_path, row.content) == (str(tmp_path / "p.txt"), " hi \n")
+
+
+def test_newest_runs_read_the_newest_periods_only(spark, tmp_path):
+    path = str(tmp_path / "by_period")
+    runs = spark.range(40).selectExpr("id", "timestamp'2024-03-01' + make_dt_interval(cast(id div 4 as int), cast(id % 4 as int)) AS timestamp", "if(id % 2 = 0, 'eng', 'ops') AS role")
+    late = spark.createDataFrame([(99, None, "eng")], "id long, timestamp timestamp, role string")
+    for rows in (runs.union(late), runs.filter("id > 30")):  # some periods again
+        tables.append_by_period(rows, path, "yyyy-MM-dd")
+    newest = tables.read_newest(spark, path, 3)
+    assert [r.id for r in newest.collect()] == [39, 38, 37]
+    assert len(newest.inputFiles()) == 1
+    assert [r.id for r in tables.read_newest(spark, path, 5, "eng").collect()] == [38, 36, 34, 32, 30]
+    assert [r.id for r in tables.read_newest(spark, path, 100).collect()] == [*range(39, -1, -1), 99]
