@@ -37,6 +37,19 @@ def read_keyed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path).drop(BUCKET)
 
 
+def rows_of(spark: SparkSession, path: str, wanted: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The rows of the wanted keys. Only the partitions they fall into are read: their numbers, at most `buckets`, are a filter of the scan."""
+    wanted = wanted.select(*keys).distinct()
+    numbers = numbers_of(wanted.select(bucket_of(keys, buckets).alias(BUCKET)))
+    rows = spark.read.option("mergeSchema", "true").parquet(path).filter(F.col(BUCKET).isin(numbers))
+    return null_safe_join(rows, wanted, keys, "left_semi").drop(BUCKET)
+
+
+def numbers_of(rows: DataFrame) -> list[int]:
+    """The bucket numbers that occur."""
+    return sorted(r[0] for r in rows.select(BUCKET).distinct().collect())
+
+
 def put_rows(
     rows: DataFrame, path: str, keys: list[str], partition_by: str | None = None, newest: list[Column | str] | None = None, buckets: int = BUCKETS,
     gone: DataFrame | None = None,
@@ -59,8 +72,8 @@ def put_rows(
         replaced = new.select(*same, BUCKET)
         if gone is not None:
             replaced = replaced.union(gone.select(*same, bucket_of(keys, buckets).alias(BUCKET)))
-        touched = replaced.select(BUCKET).distinct()  # at most `buckets` rows: prunes the scan
-        before = before.join(F.broadcast(touched), BUCKET, "left_semi")
+        numbers = numbers_of(replaced)
+        before = before.filter(F.col(BUCKET).isin(numbers))
         if newest is None:
             before = null_safe_join(before, replaced.select(*same).distinct(), same, "left_anti")
         new = new.unionByName(before, allowMissingColumns=True)
@@ -70,7 +83,7 @@ def put_rows(
         new.write.parquet(f"{folder}/merged")  # nothing is read from the partitions that are overwritten
         new = spark.read.parquet(f"{folder}/merged")
         if gone is not None:  # an empty partition is not overwritten
-            for row in touched.join(new.select(BUCKET).distinct(), BUCKET, "left_anti").collect():
-                where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BUCKET}={row[0]}")
+            for number in set(numbers) - set(numbers_of(new)):
+                where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BUCKET}={number}")
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     new.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
