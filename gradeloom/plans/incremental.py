@@ -31,8 +31,10 @@ def put_results(root: str, buckets: int = keyed.BUCKETS, **tables: DataFrame) ->
     return changed.sparkSession.read.parquet(path)
 
 
-def refresh(spark: SparkSession, root: str, reports: str, cases: DataFrame, changed: DataFrame, on=("test_id",), buckets: int = keyed.BUCKETS) -> None:
-    """Brings all report tables below `reports` up to date for the changed runs. A run that has no rows for a table any more leaves it."""
+def refresh(spark: SparkSession, root: str, reports: str, cases: DataFrame, changed: DataFrame, on=("test_id",), buckets: int = keyed.BUCKETS, only: tuple[str, ...] = ()) -> None:
+    """Brings all report tables below `reports`, or `only` some of them, up to date for the changed runs. A run that has no rows for a table any more leaves it."""
     parts = {name: keyed.rows_of(spark, f"{root}/{name}", changed, RUN, buckets) for name in RESULTS}
     for name, mart in marts.report_mart(parts["criteria"], cases, parts["calls"], parts["verdicts"], on).items():
+        if only and name not in only:
+            continue
         keyed.put_rows(mart, f"{reports}/{name}", RUN, buckets=buckets, gone=changed)

@@ -649,8 +649,8 @@ def report_mart_incremental(spark, d):
     verdicts, criteria, cases = b.safety_rows(spark, d).withColumn("run_id", F.col("test_id") % 100), b.criteria(spark, d), b.cases(spark, d)
     root, reports = shared_dir(spark, "results"), shared_dir(spark, "reports")
     for keep in (F.pmod(F.xxhash64("run_id"), F.lit(4)) < 3, F.pmod(F.xxhash64("run_id"), F.lit(4)) > 1):
-        changed = incremental.put_results(root, 4, criteria=criteria.filter(keep), calls=calls.filter(keep), verdicts=verdicts.filter(keep))
-        incremental.refresh(spark, root, reports, cases, changed, buckets=4)
+        changed = incremental.put_results(root, 2, criteria=criteria.filter(keep), calls=calls.filter(keep), verdicts=verdicts.filter(keep))
+        incremental.refresh(spark, root, reports, cases, changed, buckets=2, only=("categories", "tests", "flagged", "performance"))
     counts = [keyed.read_keyed(spark, f"{reports}/{name}").agg(F.count(F.lit(1)).alias("num_rows")).select(F.lit(name).alias("mart"), "num_rows")
               for name in ("categories", "tests", "flagged", "performance")]
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
