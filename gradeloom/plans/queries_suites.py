@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 from ..functions import fixed_values as fv, text
 from ..operators import apply, context, ingest, model_output, queue, recommend, roles
 from ..session import shared_dir
-from ..sources import documents, tables
+from ..sources import documents, json_arrays, tables
 from . import bindings as b, stubs
 from .bindings import sql_round, with_tables
 from .queries_scoring import IMPROVEMENT_PARTS, improvement_inputs_of
@@ -196,6 +196,22 @@ def read_generated_json(spark, d):
     return cases.select("test_id", "category", joined("criteria"), "weight")
 
 
+@query("read_generated_arrays", with_tables("raw_cases") + f"""SELECT role_slug, CAST(row_number() OVER (PARTITION BY role_slug ORDER BY r.test_seq) AS BIGINT) AS test_seq, test_id, category,
+  {sql_joined('criteria')}, coalesce(weight, 2) AS weight
+  FROM (SELECT * REPLACE (coalesce(criteria, ['{fv.REVIEW_PLACEHOLDER}']) AS criteria) FROM raw_cases) r""")
+def read_generated_arrays(spark, d):
+    """Cases written as one JSON array for each role, and read back by ranges of 4 KB: most arrays are cut many times."""
+    root = shared_dir(spark, "generated-arrays")
+    fields = F.struct(F.col("test_id").alias("id"), "category", "question", "criteria", "weight")
+    lines = b.raw_cases(spark, d).select("role_slug", "test_seq", F.to_json(fields).alias("item"))
+    ordered = F.array_sort(F.collect_list(F.struct("test_seq", "item")))["item"]
+    arrays = lines.groupBy("role_slug").agg(F.concat(F.lit("["), F.array_join(ordered, ", "), F.lit("]")).alias("content"))
+    documents.write_files(arrays.withColumn("path", F.concat(F.replace("role_slug", F.lit(" "), F.lit("_")), F.lit(".json"))), root)
+    cases, _ = json_arrays.read_arrays(spark, root, range_bytes=4096)
+    slug = F.replace(F.regexp_extract("path", r"([^/]+)\.json$", 1), F.lit("_"), F.lit(" "))
+    return cases.select(slug.alias("role_slug"), "test_seq", "test_id", "category", joined("criteria"), "weight")
+
+
 # --- roles and run requests ----------------------------------------------------------
 
 def _roles(spark, d):
