@@ -9,6 +9,10 @@ from ..functions.numeric import col
 from ..functions.text import strip
 from .ingest import normalize_generated
 
+#: Ends the array that a text is parsed in.
+_MARK = "end of items"
+
+
 def without_fence(raw: str | Column) -> Column:
     """Trimmed text, or the inside of its first code fence without a json tag."""
     trimmed = strip(col(raw))
@@ -21,19 +25,20 @@ def bracket_slice(raw: str | Column) -> Column:
     """From the first [ to the last ], NULL when there is no such stretch."""
     raw = col(raw)
     start = F.locate("[", raw)
-    tail = F.locate("]", F.reverse(raw))
-    end = F.length(raw) - tail + 1
-    return F.when((start > 0) & (tail > 0) & (end >= start), F.substr(raw, start, end - start + 1))
+    end = F.length(raw) - F.length(F.substring_index(raw, "]", -1))  # 0 without a bracket
+    return F.when((start > 0) & (end >= start), F.substr(raw, start, end - start + 1))
+
+
+def _framed(text: Column) -> Column:
+    """The text as VARIANT, as first item of an array that ends with a mark; NULL where that is no JSON. The parser
+    stops at the end of a value, so what follows the text's own array shows as a syntax error or moves the mark."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]')))
 
 
-def _array(text: Column) -> Column:
-    """The text as a VARIANT array; NULL where it is no JSON, or JSON of another kind. The parser stops at
-    the end of a value, so the text is put between two keys: what follows the array then shows, as a
-    syntax error, as a further key, or by the loss of the second one."""
-    framed = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"items":'), text, F.lit(',"end":0}'))), "$", "map<string,variant>")
-    alone = (F.size(framed) == 2) & F.map_contains_key(framed, "end")
-    value = F.when(alone, F.element_at(framed, "items"))
-    return F.when(F.schema_of_variant(value).startswith("ARRAY"), value)
+def _alone(framed: Column) -> Column:
+    """The first item as an array of VARIANT; NULL where it is of another kind, or the mark is not the second and last item."""
+    alone = (F.try_variant_get(framed, "$[1]", "string") == _MARK) & F.try_variant_get(framed, "$[2]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(framed, "$[0]", "array<variant>"))
 
 
 def parse_json_array(df: DataFrame, raw: str) -> DataFrame:
@@ -43,10 +48,12 @@ def parse_json_array(df: DataFrame, raw: str) -> DataFrame:
     # The result passes through a generator: a later filter on it would otherwise be pushed
     # below the steps, with a copy of the parser for every mention of a column.
     return (
-        df.withColumn("_plain", _array(without_fence(raw)))
-        .withColumn("_salvaged", F.when(F.col("_plain").isNull(), _array(bracket_slice(raw))))
+        df.withColumn("_whole", _framed(without_fence(raw)))
+        .withColumn("_plain", _alone(F.col("_whole")))
+        .withColumn("_cut", F.when(F.col("_plain").isNull(), _framed(bracket_slice(raw))))
+        .withColumn("_salvaged", _alone(F.col("_cut")))
         .select(*df.columns, F.inline(F.array(F.struct(
-            F.try_variant_get(F.coalesce("_plain", "_salvaged"), "$", "array<variant>").alias("items"),
+            F.coalesce("_plain", "_salvaged").alias("items"),
             F.when(F.col("_plain").isNotNull(), "fence").when(F.col("_salvaged").isNotNull(), "slice")
             .otherwise("rejected").alias("parsed_by"),
         ))))
