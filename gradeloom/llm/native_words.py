@@ -24,3 +24,10 @@ def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     document one row with at = 0, so that documents without a word or a match stay."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("sig"), words(F.col(text_col)).alias("words"))
     return rows.select("doc_id", "sig", "words", F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("at", "word"))
+
+
+def repeated(rows: DataFrame, copies: str, step: int = 4096) -> DataFrame:
+    """Every row as often as column `copies` says, by arrays of `step` at most within each step."""
+    steps = F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(step).cast("long"))
+    inner = F.sequence(F.lit(1).cast("long"), F.least(F.col(copies) - F.col("_from"), F.lit(step)))
+    return rows.withColumn("_from", F.explode(steps)).withColumn("_copy", F.explode(inner)).drop("_from", "_copy")

@@ -217,14 +217,13 @@ def decision_list(x: dict[str, np.ndarray], bad: np.ndarray, min_precision: floa
 
 
 def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """The decision list from labelled rows (label 0 is bad). At most `max_labelled` rows, those with the
-    smallest hash of their id, are brought to the driver as a dozen numbers each. Rows without id or label don't count."""
-    chosen = (
-        labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).dropna()
-        .orderBy(F.xxhash64(F.col("_id").cast("string")), "_id", "_label").limit(max_labelled)
-    )
+    """The decision list from labelled rows (label 0 is bad). At most `max_labelled` ids, those with the
+    smallest hash, are brought to the driver, each as one row of a dozen numbers: of several labels of an id the
+    smallest counts, of several texts the one with the smallest statistics. Rows without id or label don't count."""
+    chosen = _chosen(labels, id_col, label_col, max_labelled)
     found = stats.filter(~base_failed()).select(F.col(id_col).alias("_id"), *(_feature(name).alias(name) for name in RATIOS))
-    rows = found.join(F.broadcast(chosen), "_id").toPandas()  # broadcast: max_labelled rows of two numbers
+    joined = found.join(F.broadcast(chosen), "_id")  # broadcast: max_labelled rows of two numbers
+    rows = joined.groupBy("_id").agg(F.min("_label").alias("_label"), F.min(F.struct(*RATIOS)).alias("_x")).select("_id", "_label", "_x.*").toPandas()
     if not len(rows):
         return []
     rows = rows.iloc[np.lexsort([rows[c].to_numpy() for c in RATIOS] + [tb.mixed(rows["_id"].map(hash).to_numpy().astype(np.int64).view(np.uint64))])]
@@ -246,16 +245,17 @@ def rule_number(rules: list[Rule]) -> Column:
 def judged(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """All columns of `docs`, the `qr_` statistics, `qr_base_failed`, `qr_rule` and `qr_kept`."""
     chosen = labels.select(id_col, "quality")
-    learn_on = text_statistics(docs.select(id_col, text_col).join(F.broadcast(_sample_ids(chosen, id_col)), id_col, "left_semi"), text_col)
+    learn_on = text_statistics(docs.select(id_col, text_col).join(F.broadcast(_chosen(chosen, id_col).select(F.col("_id").alias(id_col))), id_col, "left_semi"), text_col)
     rules = learn_rules(learn_on, chosen, id_col)
     return text_statistics(docs, text_col).withColumns({PREFIX + "base_failed": base_failed(), PREFIX + "rule": rule_number(rules)}).withColumn(
         PREFIX + "kept", ~F.col(PREFIX + "base_failed") & (F.col(PREFIX + "rule") == 0)
     )
 
 
-def _sample_ids(labels: DataFrame, id_col: str, n: int = MAX_LABELLED) -> DataFrame:
-    """Ids of the labelled rows to learn from: n at most, so the broadcast is bounded."""
-    return labels.dropna().orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col, "quality").limit(n).select(id_col)
+def _chosen(labels: DataFrame, id_col: str, label_col: str = "quality", n: int = MAX_LABELLED) -> DataFrame:
+    """_id, _label of the ids to learn from, a row each: n at most, so the broadcast is bounded."""
+    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).dropna().groupBy("_id").agg(F.min("_label").alias("_label"))
+    return rows.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(n)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

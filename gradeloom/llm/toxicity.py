@@ -26,6 +26,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gradeloom.session import shared_dir
+
 from . import text_blocks as tb
 
 MAX_LABELLED = 20_000
@@ -254,13 +256,18 @@ def _featured(lexicon: Lexicon):
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> tuple[Boosted, Lexicon]:
-    """Calibrated trees and the lexicon to use with them."""
+    """Calibrated trees and the lexicon to use with them. They learn from at most `max_labelled` ids, those with the smallest
+    hash: of several labels of an id the largest counts, of several texts the one with the smallest hash."""
     chosen = (
         labels.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label")).dropna()
         .select("_id", "label", F.xxhash64(F.col("_id").cast("string")).alias("_order")).orderBy("_order", "_id").limit(max_labelled)
         .withColumn("part", F.pmod(F.shiftrightunsigned("_order", 7), F.lit(10)).cast("int")).drop("_order")
     )
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("text", "label", "part")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
+    # One text per id, so that what reaches the driver is bounded; written once, as it is read five times.
+    folder = shared_dir(docs.sparkSession, "labelled-texts")
+    found.groupBy("_id", "label", "part").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label", "part").write.parquet(folder)
+    rows = docs.sparkSession.read.parquet(folder)
     # Half for the lexicon, 3 tenths for the trees, 2 for the calibration.
     half = learn_lexicon(rows.filter("part < 5"))
     fields = ", ".join(f"{f} double" for f in FEATURES)

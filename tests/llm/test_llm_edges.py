@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
-from gradeloom.llm import chat_format, decontaminate, elias_fano, exchange, license_scan, near_dup, ngram_lm, packing, quality_rules, substring_dedup, suffix_dedup, toxicity  # noqa: E402
+from gradeloom.llm import chat_format, decontaminate, elias_fano, exchange, license_scan, native_words, near_dup, ngram_lm, packing, quality_rules, substring_dedup, suffix_dedup, toxicity  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 CLASHING = "n_words bucket block body open marks sig words at word qr_kept label key part keep_0 rep class_id start length items held_out score kept".split()
@@ -98,6 +98,24 @@ def test_quality_rules(spark, docs, nothing):
     assert quality_rules.judged(nothing, labels).count() == 0 and quality_rules.judged(docs, labels.limit(0)).count() == len(ROWS)
 
 
+def test_labelled_ids_count_once(spark):
+    """Copies of labelled rows, and labels given twice, change neither what is learned nor how much reaches the driver."""
+    r = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(r.choice(vocabulary, 30)) + (" you idiot " + " ".join(f"#{k}!" for k in r.integers(0, 99, 20)) if i % 3 == 0 else "")) for i in range(240)]
+    labels = [(i, int(i % 3 == 0), int(i % 3 != 0)) for i in range(240)]
+    once = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    twice = spark.createDataFrame(rows + rows[:5] * 40, "doc_id long, text string"), spark.createDataFrame(labels + labels[:50], "doc_id long, toxic int, quality int")
+    model, lexicon = toxicity.learn(*once)
+    again, lexicon_again = toxicity.learn(*twice)
+    assert (lexicon.keys == lexicon_again.keys).all() and (model.leaf == again.leaf).all() and (model.threshold == again.threshold).all()
+
+    def rules(docs, labels):
+        return quality_rules.learn_rules(quality_rules.text_statistics(docs, "text"), labels)
+
+    assert rules(*once) == rules(*twice) != []
+
+
 def test_decision_list_finds_a_conjunction():
     r = np.random.default_rng(0)
     x = {"a": r.random(600), "b": r.random(600), "c": r.random(600)}
@@ -179,6 +197,36 @@ def test_license_scan_of_edited_notices(spark):
     assert {r.doc_id: [s.label for s in r.notice_spans] for r in found} == labels
 
 
+@pytest.mark.parametrize("limit", [license_scan.MAX_BROADCAST, 0])
+def test_license_scan_with_clauses_put_in(spark, monkeypatch, limit):
+    """1, 8 and 30 words put in at one or two places of every notice; the pieces of a notice in another order are none."""
+    monkeypatch.setattr(license_scan, "MAX_BROADCAST", limit)
+    rows, labels = [], {}
+    for label, text in license_scan.NOTICES:
+        words = text.split()
+        for n in (1, 8, 30):
+            for places in ([2], [3], [4], [2, 4]):
+                own = list(words)
+                for p in sorted(places, reverse=True):
+                    at = p * len(words) // 6
+                    own[at:at] = [f"own{n}x{k}" for k in range(n)]
+                labels[len(rows)] = [label]
+                rows.append((len(rows), " ".join(own)))
+        labels[len(rows)] = []
+        sixth = len(words) // 6
+        rows.append((len(rows), " ".join(w for k in (5, 4, 3, 2, 1, 0) for w in [f"x{k}" for _ in range(9)] + words[k * sixth : (k + 1) * sixth])))
+    rows += [(1000, rows[0][1])] * 3
+    labels[1000] = labels[0]
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    assert {r.doc_id: [s.label for s in r.notice_spans] for r in found} == labels
+
+
+def test_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, 1), (2, 9), (3, 4)], "a long, n long")
+    assert sorted(r.a for r in native_words.repeated(rows, "n", step=4).collect()) == [1] + [2] * 9 + [3] * 4
+
+
 def test_decontaminate(spark, docs, nothing):
     items = [(1, PASSAGE), (2, "two three"), (3, None), (4, ""), (5, "one two three"), (6, "one two three"), (7, "never seen words"), (8, LONG[:400])]
     frame = spark.createDataFrame([*items, (None, "One")], "item_id long, text string")
