@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -71,6 +72,83 @@ def test_state_holds_the_last_runs_only(spark, tmp_path):
     assert sizes[-1] < 6 * sizes[0]
 
 
+class Counted:
+    """State of one run in memory that counts how often it is asked or changed."""
+
+    def __init__(self):
+        self.value, self.lists, self.n = None, {}, 0
+
+    def getValueState(self, *_):
+        return Variable(self, lambda: self.value, lambda v: setattr(self, "value", v))
+
+    def getMapState(self, *_):
+        return Variable(self, self.lists.get, self.lists.__setitem__)
+
+    def registerTimer(self, at):
+        self.n += 1
+
+    deleteTimer = registerTimer
+
+
+class Variable:
+    def __init__(self, state, get, put):
+        self.state, self._get, self._put = state, get, put
+
+    def _count(self, x):
+        self.state.n += 1
+        return x
+
+    def get(self):
+        return self._count(self._get())
+
+    def exists(self):
+        return self.get() is not None
+
+    def getValue(self, key):
+        return self._count(self._get(key))
+
+    def containsKey(self, key):
+        return self.getValue(key) is not None
+
+    def update(self, value):
+        self._count(self._put(value))
+
+    def updateValue(self, key, value):
+        self._count(self._put(key, value))
+
+    def clear(self):
+        self._count(self.state.lists.clear())
+
+
+def tracked_batch(run, tests, total=None):
+    rows = pd.DataFrame({"total": pd.Series([total] + [None] * len(tests), dtype="float64"), "test_id": [None, *tests], "at_us": range(len(tests) + 1), "list": [hash(t) % 64 for t in ["", *tests]]})
+    return next(iter(run.handleInputRows(("r",), iter([rows[:9], rows[9:]]), None)))
+
+
+def test_a_run_takes_few_accesses_to_the_state():
+    state, run = Counted(), tracker.RunTracker("run_id", 1, 1)
+    run.init(state)
+    for k in range(3):  # the second batch has half of the first again
+        state.n = 0
+        got = tracked_batch(run, [f"t{i}" for i in range(30 * k, 30 * k + 60)], 500)
+        assert (got["done"][0], got["status"][0]) == (60 + 30 * k, "running") and state.n <= 8, state.n
+
+
+@pytest.mark.parametrize("held", [50, 1 << 16])
+def test_tests_of_a_long_run_are_counted_once(monkeypatch, held):
+    monkeypatch.setattr(tracker, "HELD", held)
+    state, run, seen = Counted(), tracker.RunTracker("run_id", 1, 1), set()
+    run.init(state)
+    for k in range(7):
+        tests = [f"t{i}" for i in range(90 * k, 90 * k + 180)]
+        seen |= set(tests)
+        got = tracked_batch(run, tests + tests[:5], 720)
+        assert (got["done"][0], got["status"][0]) == (len(seen), "done" if len(seen) == 720 else "running")
+        if k < 6:
+            assert sum(len(x[0]) for x in state.lists.values()) == len(seen) and max(len(x[0]) for x in state.lists.values()) <= tracker.FIRST
+    assert not state.lists
+
+
 def test_batches_are_merged(spark, tmp_path):
     table = str(tmp_path / "table")
     newest = finished_runs._newest
