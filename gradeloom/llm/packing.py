@@ -32,7 +32,8 @@ END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Pieces of words whose ids a worker remembers; then it starts anew.
 REMEMBERED_PIECES = 1_000_000
-BLOCK_BYTES = 8_000_000
+#: Bytes of text encoded at a time. The arrays beside them take some hundred times as much; two workers share an executor.
+BLOCK_BYTES = 1_000_000
 
 SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, sequence_cost double"
 

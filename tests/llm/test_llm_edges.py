@@ -61,6 +61,27 @@ def test_packing(spark, docs, nothing):
     assert packing.pack(nothing, packing.default_tokenizer()).count() == 0
 
 
+def test_packing_takes_little_memory_beside_the_texts(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Task:
+        get = partitionId = staticmethod(lambda: Task if Task.first() else 0)
+        first = staticmethod(iter([True, False]).__next__)
+
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    r = random.Random(3)
+    known = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(r.choices(known, k=900)) for _ in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in packing._pack(iter([batch]), packing.default_tokenizer(), 4096, 2, 64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n >= 1200 and batch.nbytes > 6_000_000 and peak < 110_000_000, peak
+
+
 def test_packing_balances_cost():
     lengths = np.array([900, 800, 700, 600, 500, 400, 100, 96])
     pieces, cost = packing.assign(lengths, 1024)
