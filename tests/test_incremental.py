@@ -42,3 +42,34 @@ def test_only_the_partitions_of_changed_runs_are_read(spark, tmp_path):
     assert "PartitionFilters: [key_bucket" in rows._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         incremental.put_results(path, other=wanted)
+
+
+def test_rows_are_written_once_beside_the_table(spark, tmp_path, monkeypatch):
+    path, shared, ids = str(tmp_path / "t"), str(tmp_path / "shared"), lambda a, z: spark.range(a, z).withColumnRenamed("id", "run_id")
+    keyed.put_rows(ids(0, 1000), path, ["run_id"], buckets=2)
+    monkeypatch.setattr(keyed, "shared_dir", lambda spark, purpose: f"{shared}/{purpose}")
+    keyed.put_rows(ids(990, 1010), path, ["run_id"], buckets=2)
+    assert spark.read.option("recursiveFileLookup", "true").parquet(shared).count() == 20
+    assert sorted(r.run_id for r in keyed.read_keyed(spark, path).collect()) == list(range(1010))
+
+
+def test_a_bucket_without_rows_leaves_the_table(spark, tmp_path):
+    path, ids = str(tmp_path / "t"), lambda a, z: spark.range(a, z).withColumnRenamed("id", "run_id")
+    keyed.put_rows(ids(0, 100), path, ["run_id"], buckets=2)
+    keyed.put_rows(ids(1, 2), path, ["run_id"], buckets=2, gone=ids(0, 100))
+    assert [r.run_id for r in keyed.read_keyed(spark, path).collect()] == [1]
+
+
+def test_tests_are_scored_once_in_a_refresh(spark, tmp_path):
+    root, reports = str(tmp_path / "results"), str(tmp_path / "reports")
+    cases = spark.createDataFrame([("t1", "A", 1), ("t2", "B", 3)], "test_id string, category string, weight int")
+    changed = incremental.put_results(root, 2, **results(spark, ["r1", "run2"]))
+    scored = spark.sparkContext.accumulator(0)
+
+    def seen(weight):
+        scored.add(1)
+        return weight
+
+    counted = cases.withColumn("weight", F.udf(seen, "int")("weight"))
+    incremental.refresh(spark, root, reports, counted, changed, buckets=2)
+    assert scored.value <= 2 * cases.count()
