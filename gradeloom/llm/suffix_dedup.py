@@ -85,11 +85,19 @@ def _short(keys: np.ndarray, bits: int, n_buckets: int) -> np.ndarray:
     return (keys >> drop) << drop
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys, and where in it each distinct one begins."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+
+
 def _in_answers(keys: np.ndarray, answers: dict[int, list[np.ndarray]], n_buckets: int) -> np.ndarray:
     """Mask of a block's keys that were answered with yes."""
-    names = np.unique(keys)
-    tied = names[ex.answered(names, answers, n_buckets)]
-    return tied[np.minimum(np.searchsorted(tied, keys), len(tied) - 1)] == keys if len(tied) else np.zeros(len(keys), bool)
+    order, first = _runs(keys)
+    out = np.empty(len(keys), bool)
+    out[order] = np.repeat(ex.answered(keys[order[first]], answers, n_buckets), np.diff(np.append(first, len(keys))))
+    return out
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,28 +109,37 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _tied(blocks: list[list[np.ndarray]]):
     """Sorts one bucket: for each block, which of its names come at two places."""
-    keys = np.concatenate([b[0] for b in blocks])
-    twice = np.concatenate([b[0][b[1] > 0] for b in blocks])
-    ranked = np.sort(keys)
-    tied = np.unique(np.concatenate([ranked[1:][ranked[1:] == ranked[:-1]], twice]))
-    return [(ex.packed_bits(np.isin(b[0], tied, assume_unique=True)),) for b in blocks]
+    order, first = _runs(np.concatenate([b[0] for b in blocks]))
+    if not len(order):
+        return [(ex.packed_bits(b[0] > 0),) for b in blocks]
+    sizes = np.diff(np.append(first, len(order)))
+    twice = np.concatenate([b[1] for b in blocks]) > 0
+    tied = np.empty(len(order), bool)
+    tied[order] = np.repeat((sizes > 1) | np.logical_or.reduceat(twice[order], first), sizes)
+    return [(ex.packed_bits(t),) for t in np.split(tied, np.cumsum([len(b[0]) for b in blocks])[:-1])]
 
 
 def _send_samples(length: int, period: int, n_buckets: int):
     return lambda batch, buf, offsets: _distinct(_cover_names(buf, offsets, length, period, n_buckets)[0])
 
 
+def _reached(found: np.ndarray, offsets: np.ndarray, period: int) -> np.ndarray:
+    """Mask of the bytes that have one of the rising positions `found` less than `period` ahead in their document."""
+    edge = np.zeros(int(offsets[-1]) + 1, np.int32)
+    lo = np.maximum(found - period + 1, offsets[np.searchsorted(offsets, found, "right") - 1])
+    first = np.flatnonzero(np.diff(lo, prepend=-1))  # the first bytes of a document may begin for many
+    edge[lo[first]] = np.diff(np.append(first, len(lo)))
+    edge[found + 1] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
+
+
 def _open_suffixes(length: int, period: int, n_buckets: int):
     """Texts with a bit for each suffix that the sample leaves open; `open` if there is any."""
 
     def run(batch, buf, offsets, answers):
         keys, at = _cover_names(buf, offsets, length, period, n_buckets)
         found = at[_in_answers(keys, answers, n_buckets)]
-        first = np.repeat(offsets[:-1], np.diff(offsets))
-        edge = np.zeros(len(buf) + 1, np.int32)
-        np.add.at(edge, np.maximum(found - period + 1, first[found]), 1)
-        np.add.at(edge, found + 1, -1)
-        bits = np.cumsum(edge[:-1]) > 0
+        bits = _reached(found, offsets, period)
         some = tb.per_document(bits, offsets) > 0
         marks = [np.packbits(bits[lo:hi]).tobytes() if s else b"" for s, lo, hi in zip(some, offsets[:-1], offsets[1:], strict=True)]
         return pa.table({"doc_id": batch.column(0), "text": batch.column(1).cast(pa.string()), "marks": pa.array(marks, pa.binary()), "open": pa.array(some)})

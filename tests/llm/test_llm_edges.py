@@ -264,6 +264,41 @@ def test_decontaminate_without_broadcast(spark, docs, monkeypatch):
     assert listed(decontaminate.contamination(docs, items), "doc_id", "n_words", "n_hit", "item_ids") == want
 
 
+def test_suffix_dedup_asks_for_names_at_the_price_of_a_sort():
+    """Masks equal plain loops; answers to a block's names cost a few sorts, not a hash table and a search for each."""
+    import time
+
+    from gradeloom.llm import text_blocks
+
+    r = np.random.default_rng(5)
+    for n_docs, top, period in ((0, 1, 4), (1, 9, 4), (30, 40, 16), (200, 7, 1)):
+        offsets = np.concatenate([[0], np.cumsum(r.integers(0, top, n_docs))]).astype(np.int64)
+        found = np.flatnonzero(r.random(offsets[-1]) < 0.1)
+        want = np.zeros(offsets[-1], bool)
+        for f in found:
+            want[max(f - period + 1, offsets[offsets <= f].max()) : f + 1] = True
+        assert (suffix_dedup._reached(found, offsets, period) == want).all()
+        covered = np.zeros(offsets[-1], bool)
+        for f in found:
+            covered[f : f + period] = True
+        assert (text_blocks.covered(r.permutation(np.repeat(found, 2)), period, int(offsets[-1])) == covered).all()
+    keys = r.choice(r.integers(0, 2**63, 900_000, dtype=np.uint64), 1_000_000)
+    names = np.unique(keys)
+    yes = r.random(len(names)) < 0.5
+    bounds = exchange.cut(names, 7)
+    answers = {k: [exchange.packed_bits(yes[bounds[k] : bounds[k + 1]])] for k in range(7)}
+    assert (suffix_dedup._in_answers(keys, answers, 7) == yes[np.searchsorted(names, keys)]).all()
+    spent = []
+    for run in (lambda: np.argsort(keys), lambda: suffix_dedup._in_answers(keys, answers, 7)):
+        times = []
+        for _ in range(3):
+            t = time.process_time()
+            run()
+            times.append(time.process_time() - t)
+        spent.append(min(times))
+    assert spent[1] < 4 * spent[0]
+
+
 def test_proximity(spark):
     texts = [(1, "alpha x x beta x gamma"), (2, "alpha " + "x " * 40 + "beta gamma"), (3, "gamma beta alpha"), (4, None)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
