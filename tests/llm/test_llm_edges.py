@@ -299,6 +299,15 @@ def test_suffix_dedup_asks_for_names_at_the_price_of_a_sort():
     assert spent[1] < 4 * spent[0]
 
 
+def test_names_are_sent_without_their_zero_bits():
+    r = np.random.default_rng(6)
+    short = np.sort(r.integers(0, 2**39, 9000, dtype=np.uint64))
+    for keys in (short << np.uint64(25), short, np.zeros(3, np.uint64), np.array([0, 1 << 63], np.uint64), np.zeros(0, np.uint64)):
+        back = exchange.decode(exchange.encode(keys, np.arange(len(keys))))
+        assert (back[0] == keys).all() and (back[1] == np.arange(len(keys))).all()
+    assert len(exchange.encode(short << np.uint64(25))) == len(exchange.encode(short))
+
+
 def test_proximity(spark):
     texts = [(1, "alpha x x beta x gamma"), (2, "alpha " + "x " * 40 + "beta gamma"), (3, "gamma beta alpha"), (4, None)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
