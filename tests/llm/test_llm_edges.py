@@ -340,6 +340,43 @@ def test_language_model_keeps_whole_hashes_and_small_counts():
         assert near.max() < 0.02 and (near[counts <= ngram_lm.EXACT] == 0).all()
 
 
+def test_language_model_of_higher_order(spark):
+    """Scores by the formula written out, with contexts of up to three tokens."""
+    import math
+    from collections import Counter
+
+    texts = ["a b c a b d", "a b c a b d", "a b c", "b c a", "", None, "A", "x a b c", "a b z", "q q q q"]
+    rows = [(k % 7, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").localCheckpoint()
+    held = {3, 6}
+    for order in (2, 3, 4):
+        grams = [Counter() for _ in range(order + 1)]
+        tokens = [brute.plain((t or "").translate(brute.LOWER)) + [None] for _, t in rows]
+        for (d, _), t in zip(rows, tokens, strict=True):
+            if d not in held:
+                for i, w in enumerate(t):
+                    grams[1][w,] += 1
+                    for k in range(2, min(order, i + 2) + 1):
+                        grams[k][tuple([0, *t][i + 2 - k : i + 2])] += 1
+        n, v = sum(grams[1].values()), len(grams[1])
+        want = []
+        for d, t in zip(rows, tokens, strict=True):
+            score = 0.0
+            for i, w in enumerate(t):
+                p = (grams[1][w,] + 1) / (n + v + 1)
+                for k in range(2, min(order, i + 2) + 1):
+                    gram = tuple([0, *t][i + 2 - k : i + 2])
+                    after = {g: c for g, c in grams[k].items() if g[:-1] == gram[:-1]}
+                    once, twice = (sum(c == x for c in grams[k].values()) for x in (1, 2))
+                    discount = min(0.95, once / (once + 2 * twice))
+                    if after:
+                        p = (max(grams[k][gram] - discount, 0) + discount * len(after) * p) / sum(after.values())
+                score += math.log10(p)
+            want.append((d[0], len(t), round(score, 9)))
+        got = [(r.doc_id, r.n_tokens, round(r.score, 9)) for r in ngram_lm.scores(docs, F.col("doc_id").isin(*held), order=order).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_language_model_spreads_a_frequent_context():
     words = np.sort(np.random.default_rng(8).integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2))
     place = np.arange(20_000)
