@@ -38,6 +38,8 @@ from . import exchange as ex, text_blocks as tb
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
+#: Pairs or sets that a worker decodes at a time.
+STEP_ROWS = 512
 #: Bands and registers in a band. A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** 4) ** 20 > 0.9999 (equal weights).
 BANDS, ROWS = 20, 4
 
@@ -101,7 +103,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))],
                 names=["doc_id", "n_shingles", "words_a", "words_b", "bands"],
             )
-    tb.give_back()
+            del keys, docs, whole, kept, bands, n
+        tb.give_back()
 
 
 def _band_hashes(kept: np.ndarray) -> np.ndarray:
@@ -123,10 +126,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.searchsorted(docs, np.arange(j - i + 1))
             bodies = [ex.encode(keys[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(bodies, pa.binary())], names=["doc_id", "body"])
+            del keys, docs, bodies
+        tb.give_back()
 
 
-def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for i in range(0, batch.num_rows, STEP_ROWS):
+            yield batch.slice(i, STEP_ROWS)
+
+
+def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _steps(batches):
         values, bits, last, held = [], [], None, None
         for a, b in zip(batch.column("body_a").to_pylist(), batch.column("body_b").to_pylist(), strict=True):
             if a is not last:
@@ -207,10 +218,11 @@ def _own_shingles(left: DataFrame, sets: DataFrame) -> DataFrame:
     """doc_id, own: how many shingles of a text no other text in `left` has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _steps(batches):
             keys = [ex.decode(b)[0] for b in batch.column("body").to_pylist()]
             ids = np.repeat(batch.column("doc_id").to_numpy(), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))], names=["doc_id", "shingle"])
+        tb.give_back()
 
     rows = sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "body").mapInArrow(run, "doc_id long, shingle long")
     holders = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("_last"))

@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
-from gradeloom.llm import chat_format, decontaminate, elias_fano, exchange, license_scan, native_words, near_dup, ngram_lm, packing, quality_rules, substring_dedup, suffix_dedup, toxicity  # noqa: E402
+from gradeloom.llm import chat_format, decontaminate, elias_fano, exchange, license_scan, native_words, near_dup, ngram_lm, packing, quality_rules, substring_dedup, suffix_dedup, text_blocks, toxicity  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 CLASHING = "n_words bucket block body open marks sig words at word qr_kept label key part keep_0 rep class_id start length items held_out score kept".split()
@@ -82,6 +82,53 @@ def test_packing_takes_little_memory_beside_the_texts(monkeypatch):
     assert n >= 1200 and batch.nbytes > 6_000_000 and peak < 110_000_000, peak
 
 
+def test_a_worker_takes_a_bounded_multiple_of_a_chunk(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Task:
+        get = partitionId = staticmethod(lambda: Task if Task.first() else 0)
+        first = staticmethod(iter([True, False]).__next__)
+
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    r = random.Random(4)
+    known = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array([" ".join(r.choices(known, k=900)) for _ in range(1200)])], names=["doc_id", "text"])
+    body = exchange.encode(np.sort(np.array([r.getrandbits(64) for _ in range(3000)], np.uint64)))
+    pairs = pa.RecordBatch.from_arrays([pa.array(range(6000)), pa.array(range(6000)), *[pa.array([body] * 6000)] * 2], names=["u", "v", "body_a", "body_b"])
+    packing._tokenizer(packing.default_tokenizer())
+    peaks = {}
+    for name, work, limit in (
+        ("packing", lambda: packing._pack(iter([batch]), packing.default_tokenizer(), 4096, 2, 64), 60e6), ("signatures", lambda: near_dup._signatures(iter([batch])), 60e6),
+        ("sets", lambda: near_dup._sets(iter([batch])), 60e6), ("similarity", lambda: near_dup._similarity(iter([pairs])), 60e6),
+    ):
+        text_blocks.worker_state().pop("powers", None)  # the tables that a worker keeps count as well
+        tracemalloc.start()
+        n = sum(b.num_rows for b in work())
+        peaks[name] = (tracemalloc.get_traced_memory()[1] / 1e6, limit / 1e6)
+        tracemalloc.stop()
+        assert n >= 1200
+    assert batch.nbytes > 6_000_000 and all(peak < limit for peak, limit in peaks.values()), peaks
+
+
+def test_rows_of_two_sizes_of_steps_are_the_same(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(5)
+    sets = [np.unique(np.array([r.randrange(400) for _ in range(300)], np.uint64)) for _ in range(40)]
+    left = [sets[k // 7] for k in range(40)]
+    columns = [pa.array(range(40)), pa.array(range(40)), pa.array([exchange.encode(x) for x in left]), pa.array([exchange.encode(x) for x in sets])]
+    batch = pa.RecordBatch.from_arrays(columns, names=["u", "v", "body_a", "body_b"])
+    want = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in zip(left, sets, strict=True)]
+    for step in (3, 7, 512):
+        monkeypatch.setattr(near_dup, "STEP_ROWS", step)
+        rows = pa.Table.from_batches(near_dup._similarity(iter([batch])))
+        assert rows["similarity"].to_pylist() == want and rows["v"].to_pylist() == list(range(40))
+
+
 def test_packing_balances_cost():
     lengths = np.array([900, 800, 700, 600, 500, 400, 100, 96])
     pieces, cost = packing.assign(lengths, 1024)
