@@ -33,7 +33,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Pieces of words whose ids a worker remembers; then it starts anew.
 REMEMBERED_PIECES = 1_000_000
 #: Bytes of text encoded at a time. The arrays beside them take some hundred times as much; two workers share an executor.
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 500_000
 
 SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, sequence_cost double"
 
@@ -82,10 +82,10 @@ class WordTokenizer:
         first = self.pooled + np.concatenate([[0], np.cumsum(size[:-1])])
         self.pool = [np.concatenate([*self.pool, *(m[0] for m in made)])]
         self.pooled += int(size.sum())
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known)
-        self.known = known[order]
-        self.first, self.size = np.concatenate([self.first, first])[order], np.concatenate([self.size, size])[order]
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known = np.insert(self.known, at, hashes[order])
+        self.first, self.size = np.insert(self.first, at, first[order]), np.insert(self.size, at, size[order])
 
     def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's begin (one more at the end)."""
