@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.operators import marts
 from gradeloom.plans import incremental
+from gradeloom.plans.catalog import ALL
 from gradeloom.sources import keyed
 
 
@@ -73,3 +74,20 @@ def test_tests_are_scored_once_in_a_refresh(spark, tmp_path):
     counted = cases.withColumn("weight", F.udf(seen, "int")("weight"))
     incremental.refresh(spark, root, reports, counted, changed, buckets=2)
     assert scored.value <= 2 * cases.count()
+
+
+def test_the_query_refreshes_every_report_table(spark, tmp_path):
+    """`report_mart_incremental` counts all tables of `marts.mart_tables`, not some of them."""
+    tables = {
+        "lineitem": spark.range(40).selectExpr("id AS l_orderkey", "id % 5 AS l_partkey", "id % 4 AS l_suppkey", "1 AS l_linenumber", "20.0D AS l_quantity", "id * 1.5D AS l_extendedprice",
+                                               "0.05D AS l_discount", "0.04D AS l_tax", "'A' AS l_returnflag", "'F' AS l_linestatus", "timestamp_ntz'2024-01-01 00:00:00' AS l_shipdate"),
+        "part": spark.range(5).selectExpr("id AS p_partkey", "'n' AS p_name", "concat('B', id % 2) AS p_brand", "'t' AS p_type", "cast(id AS int) AS p_size"),
+        "events": spark.range(30).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 6 AS user_id", "'view' AS event_type", "1.0D AS value", "'{\"k\": 3}' AS props"),
+        "documents": spark.range(12).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars"),
+        "labels": spark.range(9).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality", "cast(id % 3 = 0 AS int) AS toxic"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r.mart: r.num_rows for r in ALL["report_mart_incremental"][0](spark, str(tmp_path)).collect()}
+    # Runs: 4 of criteria, 6 of calls, 12 of verdicts, 9 of them labelled; toxicity fails in 3, bias in those 5 of quality 0.
+    assert got == {"runs": 4, "categories": 8, "tests": 20, "safety": 18, "safety_overall": 12, "flagged": 8, "performance": 6}
