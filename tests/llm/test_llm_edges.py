@@ -443,6 +443,49 @@ def test_language_model_spreads_a_frequent_context():
     assert np.diff(cuts).max() < 1.2 * 20_000 / 16
 
 
+def test_language_model_query_goes_beyond_pairs(spark, tmp_path):
+    """The query's model has n-grams of three tokens: its scores of both orders by the formula written out."""
+    import math
+    from collections import Counter
+
+    texts = ["a b c a b d", "a b c a b d", "a b c", "b c a", "", None, "A", "x a b c", "a b z", "q q q q", "c a b c"] * 3
+    rows = [(k * 17, f"{t} w{k % 4}" if t and k % 2 else t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in ngram_lm.query(spark, str(tmp_path)).collect()}
+    tokens = {d: [0, *brute.plain((t or "").translate(brute.LOWER)), None] for d, t in rows}
+    assert {d for d, r in got.items() if r.held_out} == {d for d in tokens if brute.fold(d, 7) == 2} and any(r.held_out for r in got.values())
+    grams = {k: Counter(tuple(t[i - k + 1 : i + 1]) for d, t in tokens.items() if not got[d].held_out for i in range(max(1, k - 1), len(t))) for k in (1, 2, 3)}
+    n, v = sum(grams[1].values()), len(grams[1])
+    for d, t in tokens.items():
+        want = {2: 0.0, 3: 0.0}
+        for i in range(1, len(t)):
+            p = (grams[1][t[i],] + 1) / (n + v + 1)
+            for k in (2, 3):
+                if k <= i + 1:
+                    gram = tuple(t[i - k + 1 : i + 1])
+                    after = [c for g, c in grams[k].items() if g[:-1] == gram[:-1]]
+                    once, twice = (sum(c == x for c in grams[k].values()) for x in (1, 2))
+                    discount = min(0.95, once / (once + 2 * twice)) if once else 0.5
+                    if after:
+                        p = (max(grams[k][gram] - discount, 0) + discount * len(after) * p) / sum(after)
+                want[k] += math.log10(p)
+        assert math.isclose(got[d].score, want[2], abs_tol=1e-9) and math.isclose(got[d].score_3, want[3], abs_tol=1e-9)
+
+
+def test_ordered_and_distinct_numbers():
+    r = np.random.default_rng(9)
+    for top in (1, 50, 1 << 40, 1 << 62):
+        values = r.integers(0, top, 3000).astype(np.uint64)
+        want, at = np.unique(values, return_inverse=True)
+        ranked, stood = ngram_lm._ordered(values)
+        assert (ranked == np.sort(values)).all() and (stood == np.argsort(values, kind="stable")).all()
+        for distinct in (ngram_lm._distinct, ngram_lm._distinct_numbers):
+            found, place = distinct(values)
+            assert (found == want).all() and (place == at).all()
+    none = np.zeros(0, np.uint64)
+    assert all(len(x) == 0 for f in (ngram_lm._ordered, ngram_lm._distinct, ngram_lm._distinct_numbers) for x in f(none))
+
+
 def test_elias_fano_and_trie():
     r = np.random.default_rng(3)
     for n, top in ((0, 1), (1, 1), (10, 3), (1000, 1 << 40), (5000, 3000)):
